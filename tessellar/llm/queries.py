@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, simhash, token_files
 
 QUERIES = {
+    "op3_simhash_anchors": simhash.query,
     "op6_best_fit_packing": packing.query,
     "op8_token_files": token_files.query,
 }
