@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import packing, simhash, token_files
+from . import decontaminate, packing, simhash, token_files
 
 QUERIES = {
+    "op2_prefix_decontamination": decontaminate.query,
     "op3_simhash_anchors": simhash.query,
     "op6_best_fit_packing": packing.query,
     "op8_token_files": token_files.query,
