@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 
@@ -21,6 +23,9 @@ _CUT = re.compile(r"(?= \S)")
 _LATIN_END = "\u0250"  # up to here all versions of Unicode agree on what a letter is
 
 
+_MARKS = ".,;:!?|#*$%&)"
+
+
 def _byte_letters() -> dict[int, str]:
     """The character that byte-level BPE writes for each byte, by its Latin-1 code point."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -37,12 +42,15 @@ class _Kept(dict):
     def __init__(self, encode, before: str = ""):
         super().__init__()
         self.encode, self.before = encode, before
+        self.ends: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        last = word[-1:]
-        if last in (".", ",", "!") and word[:-1].isalpha() and max(word) < _LATIN_END:
-            got = self.get(word[:-1]) or self.encode(self.before + word[:-1])
-            got += self.encode(last)
+        stem = word.rstrip(_MARKS)
+        if stem != word and stem.isalpha() and max(stem) < _LATIN_END:  # marks after letters are a piece of their own
+            marks = word[len(stem) :]
+            if marks not in self.ends:
+                self.ends[marks] = self.encode(marks)
+            got = (self.get(stem) or self.encode(self.before + stem)) + self.ends[marks]
         else:
             got = self.encode(self.before + word)
         self[word] = got
@@ -58,16 +66,25 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
         self.model = self.tokenizer.model
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.keep_words = keep_words
         self.heads, self.tails, self.chunks = _Kept(self._ids), _Kept(self._ids, " "), _Kept(self._ids)
         self.line_end = self._ids("\n")
 
     def _ids(self, text: str) -> bytes:
         letters = text.removeprefix(" ")
-        if letters.isalpha() and max(letters) < _LATIN_END:
-            piece = text.encode().decode("latin-1").translate(_LETTERS)
-            return np.asarray([x.id for x in self.model.tokenize(piece)], self.kind).tobytes()
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        if letters.isalpha():
+            if letters.isascii():
+                return self._bytes([x.id for x in self.model.tokenize(text.replace(" ", _LETTERS[32]))])
+            if max(letters) < _LATIN_END:
+                return self._bytes([x.id for x in self.model.tokenize(text.encode().decode("latin-1").translate(_LETTERS))])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array(self.code, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
 
     def raw(self, text: str | None) -> bytes:
         """The text's ids, as bytes of self.kind; null has none."""
@@ -76,6 +93,7 @@ class Encoder:
         for kept in (self.heads, self.tails, self.chunks):
             if len(kept) > self.keep_words:
                 kept.clear()
+                kept.ends.clear()
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace() or sum(map(len, text.split())) + text.count(" ") + text.count("\n") < len(text):
             return b"".join(map(self.chunks.__getitem__, _CUT.split(text)))
         tail, lines = self.tails.__getitem__, []
