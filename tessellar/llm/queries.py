@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, packing, simhash, token_files
+from . import decontaminate, html_extract, langid, packing, simhash, span_dedup, token_files
 
 QUERIES = {
+    "op1_line_block_extraction": html_extract.query,
+    "op4_language_id": langid.query,
+    "op10_sentence_spans": span_dedup.query,
     "op2_prefix_decontamination": decontaminate.query,
     "op3_simhash_anchors": simhash.query,
     "op6_best_fit_packing": packing.query,
