@@ -125,7 +125,7 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarra
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
-def identify(docs: DataFrame, per_lang: int = 1200) -> DataFrame:
+def identify(docs: DataFrame, per_lang: int = 1000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row, by a model learned from rows that are not held out."""
     rows = shared.one_pass(docs, {"doc_id": "long", "text": "string", "lang": "string"})
     usable = rows.filter((shared.fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
