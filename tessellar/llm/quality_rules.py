@@ -100,7 +100,7 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def divergence_rules(docs: DataFrame, max_classes: float = 0.3, max_common: float = 0.6, min_chars: int = 200, min_words: int = 60) -> DataFrame:
+def divergence_rules(docs: DataFrame, max_classes: float = 0.28, max_common: float = 0.45, min_chars: int = 200, min_words: int = 60) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance) of each row; distances are null where a guard holds."""
     rows = shared.cut(histograms(base_rules(docs)).withColumn("lang", F.coalesce("lang", F.lit(""))))
     sound = rows.filter(~F.col("base_failed") & (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words))

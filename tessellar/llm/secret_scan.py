@@ -90,10 +90,11 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples) of each row."""
     judged = F.coalesce("judged", F.array().cast("array<struct<start: long, rank: int, end: long, live: boolean, owners: long, repositories: long>>"))
     out = verdicts(shared.cut(scan(docs, owner, repository)), wide).select("doc_id", judged.alias("judged"))
+    of_rank = lambda k: lambda x: x["rank"] == k
     counted = lambda test: F.size(F.filter("judged", test)).cast("long")
     return out.select(
         "doc_id",
-        *(counted(lambda x, k=k: x["rank"] == k).alias(f"n_{kind}") for k, kind in enumerate(BASE)),
+        *(counted(of_rank(k)).alias(f"n_{kind}") for k, kind in enumerate(BASE)),
         F.sha2(_text(F.filter("judged", lambda x: x["rank"] < len(BASE))), 256).alias("base_sha256"),
         _text(F.col("judged")).alias("spans"),
         counted(lambda x: x["live"]).alias("n_live"),
