@@ -193,6 +193,19 @@ def score_documents(docs: DataFrame, labels: DataFrame, per_label: int = 1500, a
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= accept).cast("int"))
 
 
+def keep_accepted(docs: DataFrame, labels: DataFrame, per_label: int = 1500, accept: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is at least accept; texts do not leave their row."""
+    shipped = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_label))
+
+    def filter_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            got = np.full(len(texts), shipped.value) if isinstance(shipped.value, float) else scores(shipped.value, texts)
+            yield batch.filter(pa.array(got >= accept))
+
+    return docs.mapInArrow(filter_rows, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op5: the quality of every whole text of `documents`."""
     return score_documents(shared.table(spark, sf_dir, "documents"), shared.table(spark, sf_dir, "labels"))

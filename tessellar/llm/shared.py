@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,13 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """The frame as a Parquet table in the shared folder, read again."""
+    path = f"{scratch_dir(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def fold(doc_id: Column) -> Column:
     """The remainder that says whether a row is held out: crc32 of the id as text, modulo 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4

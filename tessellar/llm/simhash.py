@@ -122,6 +122,13 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
     return homes.join(others, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
 
 
+def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
+    """The rows of docs, with all their columns, without those of a group other than its smallest doc_id; of rows with that id one stays."""
+    known = near_duplicates(docs, shingle, distance, parts)
+    gone = known.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that links reach, itself included."""
     prints = shared.cut(fingerprints(docs, shingle))
