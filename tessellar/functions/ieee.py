@@ -8,8 +8,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAN = F.lit(float("nan"))
-INF = F.lit(float("inf"))
+NAN = float("nan")
+INF = float("inf")
 _BIG = float(1 << 52)
 
 
@@ -75,7 +75,7 @@ def ceil(x: Column) -> Column:
 
 def round_to(x: Column, n: float) -> Column:
     if n == 0 or math.isnan(n):
-        return NAN + x * 0.0
+        return F.lit(NAN)
     return floor(x / n + 0.5) * n
 
 
@@ -127,7 +127,7 @@ def quantile_of(values: Column, q: float) -> Column:
     """The same of an array."""
     n = F.size(values)
     if math.isnan(q) or q < 0 or q > 1:
-        return F.when(n > 0, NAN if math.isnan(q) else const(-math.inf if q < 0 else math.inf))
+        return F.when(n > 0, F.lit(NAN) if math.isnan(q) else const(-math.inf if q < 0 else math.inf))
     low_first = F.transform(values, lambda v: F.struct(F.when(F.isnan(v), 0).otherwise(1).alias("k"), v.alias("v")))
     rank = F.lit(q) * (n - 1)
     low = F.floor(rank).cast("int")
