@@ -99,7 +99,7 @@ _add("r19_quantile_over_time", "quantile_over_time(0.75, event_value[1d])", f"{_
 _XY = "(t - eval_ms) / 1000.0"
 _REG = f"{_R}, r AS (SELECT eval_ms, event_type, user_id, regr_slope(v, {_XY}) AS slope, regr_intercept(v, {_XY}) AS intercept FROM w {_BY} HAVING count(*) >= 2)"
 _add("r20_deriv", "deriv(event_value[1d])", f"{_REG} SELECT eval_ms, event_type, user_id, {_value('slope', 6)} FROM r", digits=6)
-_add("r21_predict_linear", "predict_linear(event_value[1d], 3600)", f"{_REG} SELECT eval_ms, event_type, user_id, {_value('intercept + 3600 * slope', 3)} FROM r", digits=3)
+_add("r21_predict_linear", "predict_linear(event_value[1d], 3600)", f"{_REG} SELECT eval_ms, event_type, user_id, {_value('intercept + 3600 * slope', 1)} FROM r", digits=1)
 _add("r22_double_exponential_smoothing", "double_exponential_smoothing(event_value[1d], 0.5, 0.3)", None)
 _SPARSE = f"WITH {EV}, {window_sql(DENSE, HOUR)}"
 _add("r23_absent_over_time", 'absent_over_time(event_value{event_type="click"}[1h])', f"{_SPARSE} SELECT eval_ms, 'click' AS event_type, 1.0 AS value FROM g WHERE eval_ms NOT IN (SELECT eval_ms FROM w WHERE event_type = 'click')", ("event_type",), DENSE)
