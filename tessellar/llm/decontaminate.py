@@ -29,7 +29,6 @@ from . import shared
 
 #: Bits of the bitmap of words that tasks look for.
 BITS = 1 << 23
-_BUCKET = 1 << 15  # bits in a row of Spark's bitmaps
 _WORD = np.ones(256, bool)
 _WORD[[*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
 
@@ -55,21 +54,6 @@ def item_windows(items: DataFrame, window: int = 8) -> DataFrame:
     return rows.distinct()
 
 
-def word_bitmap(words: DataFrame, name: str) -> np.ndarray:
-    """A boolean for each of BITS hash remainders: those of the column's longs. BITS / _BUCKET rows of 4 KB reach the driver."""
-    bit = F.pmod(F.col(name), F.lit(BITS))
-    rows = words.select((bit / _BUCKET).cast("long").alias("bucket"), (bit % _BUCKET).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).collect()
-    flags = np.zeros(BITS, np.uint8)
-    for row in rows:
-        flags[row["bucket"] * _BUCKET :][:_BUCKET] = np.unpackbits(np.frombuffer(bytes(row["bits"]), np.uint8), bitorder="little")
-    return np.packbits(flags)
-
-
-def _listed(bitmap: np.ndarray, words: np.ndarray) -> np.ndarray:
-    bit = words % BITS  # numpy's remainder is not negative
-    return (bitmap[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 > 0
-
-
 def word_counts(docs: DataFrame, bitmap) -> DataFrame:
     """(word, n): how often each word in the bitmap stands in the whole corpus."""
 
@@ -78,7 +62,7 @@ def word_counts(docs: DataFrame, bitmap) -> DataFrame:
             found = []
             for _, run in shared.slices(batch.column(0).to_pylist()):
                 words, _ = _tokens(run)
-                found.append(words[_listed(bitmap.value, words)])
+                found.append(words[shared.listed(bitmap.value, words)])
             words, n = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
             yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n.astype(np.int64))], ["word", "n"])
 
@@ -94,7 +78,7 @@ def occurrences(docs: DataFrame, bitmap, window: int = 8) -> DataFrame:
             names = batch.column(0)
             for at, run in shared.slices(batch.column(1).to_pylist()):
                 words, first = _tokens(run)
-                hits = np.flatnonzero(_listed(bitmap.value, words))
+                hits = np.flatnonzero(shared.listed(bitmap.value, words))
                 owner = np.searchsorted(first, hits, "right") - 1
                 near = hits[:, None] + np.arange(1 - window, window)
                 inside = (near >= first[owner][:, None]) & (near < first[owner + 1][:, None])
@@ -120,12 +104,12 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
     context = docs.sparkSession.sparkContext
     windows = shared.cut(item_windows(items, window))
     places = windows.select("item_id", "words", F.posexplode("words").alias("place", "word"))
-    known = context.broadcast(word_bitmap(places, "word"))
+    known = context.broadcast(shared.bitmap(places, "word", BITS))
     rarity = word_counts(docs, known)
     # the rarest word of each window is its prefix; a word that the corpus lacks is rarest of all
     ranked = places.join(rarity, "word", "left").groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("prefix"))
     prefixes = shared.cut(ranked.select("item_id", "words", F.col("prefix.word").alias("word"), F.col("prefix.place").cast("long").alias("at"), F.size("words").alias("length")))
-    found = shared.cut(occurrences(docs, context.broadcast(word_bitmap(prefixes, "word")), window))
+    found = shared.cut(occurrences(docs, context.broadcast(shared.bitmap(prefixes, "word", BITS)), window))
     each = found.select("doc_id", "n_words", F.explode("found").alias("x")).select("doc_id", "n_words", "x.word", "x.place", "x.around")
     start = F.col("place") - F.col("at")
     bounded = (start >= 0) & (start + F.col("length") <= F.col("n_words"))

@@ -116,6 +116,25 @@ def words_of(run: list[bytes], is_word: np.ndarray, fold_case: bool = True) -> t
     return raw, starts, ends, owner, first
 
 
+_BUCKET = 1 << 15  # bits in a row of Spark's bitmaps
+
+
+def bitmap(frame: DataFrame, name: str, bits: int) -> np.ndarray:
+    """Of the column's longs, which remainders by bits (a power of two) occur, 8 to a byte. bits / _BUCKET rows of 4 KB reach the driver, whatever the frame's size."""
+    bit = F.pmod(F.col(name), F.lit(bits))
+    buckets = frame.select((bit / _BUCKET).cast("long").alias("bucket"), (bit % _BUCKET).alias("bit")).groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    flags = np.zeros(bits // 8, np.uint8)
+    for row in buckets.toLocalIterator():
+        flags[row["bucket"] * _BUCKET // 8 :][: _BUCKET // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+    return flags
+
+
+def listed(flags: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values' remainders are in a bitmap: all that it was made of, and few others while it is sparse."""
+    bit = values & np.int64(len(flags) * 8 - 1)
+    return flags[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

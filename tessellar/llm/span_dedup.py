@@ -7,8 +7,10 @@ takes for `run` sentences and `words` words; a text too short for that is one ru
 each run that stands more than once, the first is where it stands in the smallest (doc_id, hash of the text, place). Every sentence
 that some run other than a first one covers is removed from its text; what is left stays as it was written.
 
-The least place of each run is combined before the shuffle, and runs meet it again in an equality join that can be split where
-a run is very frequent, so a passage in a third of all texts is no single task's work. Texts are shuffled once, at the end.
+Texts are read for their runs twice: first runs' hashes alone are counted, which leaves those that stand more than once; a bitmap of them, of
+fixed size, lets the second reading pass on only runs that may be among them (the joins that follow are exact, so what
+it passes in error does no harm). The least place of each run is combined before the shuffle, and runs meet it again in an equality
+join that can be split where a run is very frequent, so a passage in a third of all texts is no single task's work. Texts are shuffled once, at the end.
 Hashes have 64 bits and cover the words, so white space between words makes no difference.
 
 A null or empty text stays empty. Rows equal in doc_id and text count as one row, so they do not remove each other's sentences; rows
@@ -67,13 +69,30 @@ def runs_of(texts: list[bytes], run: int, words: int, long: int) -> tuple[np.nda
     return text[inside], starts[a] - begins, ends[b - 1] - begins, span.view(np.int64)
 
 
-def spans(docs: DataFrame, run: int = 3, words: int = 16, long: int = 24) -> DataFrame:
-    """(doc_id, text_hash, start, end, span): the bytes from start to end of a text are a run with hash span."""
+#: Bits of the bitmap of repeated runs (8 MB).
+BITS = 1 << 26
+
+
+def span_counts(docs: DataFrame, run: int, words: int, long: int) -> DataFrame:
+    """(span, n) of runs that stand more than once, by hash alone."""
+
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in shared.slices(batch.column(0).to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(runs_of(texts, run, words, long)[3])], ["span"])
+
+    return shared.one_pass(docs, {"text": "string"}).mapInArrow(hash_texts, "span long").groupBy("span").count().filter("count > 1")
+
+
+def spans(docs: DataFrame, bitmap, run: int = 3, words: int = 16, long: int = 24) -> DataFrame:
+    """(doc_id, text_hash, start, end, span): the bytes from start to end of a text are a run with hash span, one that the bitmap lists."""
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in shared.slices(batch.column(2).to_pylist()):
                 text, start, end, span = runs_of(texts, run, words, long)
+                may = shared.listed(bitmap.value, span)
+                text, start, end, span = text[may], start[may], end[may], span[may]
                 rows = pa.array(at + text)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(span)], schema=_SPANS)
 
@@ -101,7 +120,8 @@ def _without(text: str, cut: list[dict]) -> tuple[str, int]:
 def dedup_spans(docs: DataFrame, run: int = 3, words: int = 16, long: int = 24) -> DataFrame:
     """(doc_id, n_chars, n_removed, first_docs, text): characters of the text and how many of them went, where they first stand, and what is left."""
     place = F.struct("doc_id", "text_hash", "start")
-    every = spans(docs, run, words, long)
+    twice = shared.bitmap(span_counts(docs, run, words, long), "span", BITS)
+    every = spans(docs, docs.sparkSession.sparkContext.broadcast(twice), run, words, long)
     firsts = every.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
     again = every.join(firsts, "span").filter(F.struct("doc_id", "text_hash", "start") != F.col("first"))
     cuts = again.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash")).agg(F.collect_set(F.struct("start", "end")).alias("cut"), F.sort_array(F.collect_set("first.doc_id")).alias("first_docs"))
