@@ -25,7 +25,7 @@ _POINT = (
     f" scale: int, zeroCount: string, zeroThreshold: double, positive: {_SIDE}, negative: {_SIDE}, quantileValues: array<struct<quantile: double, value: double>>>"
 )
 _DATA = f"struct<dataPoints: array<{_POINT}>, aggregationTemporality: string, isMonotonic: boolean>"
-REQUEST = f"struct<resourceMetrics: array<struct<resource: struct<attributes: {_ATTRIBUTES}>, scopeMetrics: array<struct<metrics: array<struct<name: string, gauge: {_DATA}, sum: {_DATA}, histogram: {_DATA}, exponentialHistogram: {_DATA}, summary: {_DATA}>>>>>>"
+REQUEST = f"struct<resourceMetrics: array<struct<resource: struct<attributes: {_ATTRIBUTES}>, scopeMetrics: array<struct<metrics: array<struct<name: string, gauge: {_DATA}, sum: {_DATA}, histogram: {_DATA}, exponentialHistogram: {_DATA}, summary: {_DATA}>>>>>>>"
 CAPTURE = "seq bigint, partition int, captured_ms bigint, payload string"
 
 
