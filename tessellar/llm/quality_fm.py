@@ -46,8 +46,11 @@ def features(run: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np
     texts, n = len(run), len(starts)
     count = np.diff(first)
     chars = np.array([len(t) for t in run])
+    stats, at = np.zeros((texts, 2 * len(FLAGS) + 5)), 2 * len(FLAGS)
+    lines = np.array([t.count(b"\n") for t in run])
+    stats[:, at : at + 5] = np.stack([np.log1p(count), np.log1p(chars), chars / (count + 4), lines / (count + 4), count == 0], axis=1)
     if not n:
-        return np.zeros((texts, 2 * len(FLAGS) + 5)), np.zeros(0, np.int64), first, count
+        return stats, np.zeros(0, np.int64), first, count
     lower = shared.LOWER[raw]
     words = shared.span_hashes(lower, starts, ends)
     inside = lambda table: (sums := np.concatenate(([0], np.cumsum(table[raw]))))[ends] - sums[starts]
@@ -68,16 +71,12 @@ def features(run: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray, np
     place = np.arange(n) - first[owner]
     part = np.flatnonzero(place % STRETCH == 0)
     part_size = np.diff(np.append(part, n))
-    stats = np.zeros((texts, 2 * len(FLAGS) + 5))
     has = count > 0
     for k, name in enumerate(FLAGS):
         sums = np.add.reduceat(flags[name].astype(np.int64), part)
         np.add.at(stats[:, k], owner[part], sums)
         np.maximum.at(stats[:, len(FLAGS) + k], owner[part], sums / (part_size + 8))
     stats[has, : len(FLAGS)] /= (count[has] + 4)[:, None]
-    at = 2 * len(FLAGS)
-    lines = np.array([t.count(b"\n") for t in run])
-    stats[:, at : at + 5] = np.stack([np.log1p(count), np.log1p(chars), chars / (count + 4), lines / (count + 4), count == 0], axis=1)
     return stats, (words % np.uint64(buckets)).astype(np.int64), first, count
 
 

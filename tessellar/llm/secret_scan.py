@@ -5,7 +5,7 @@ and of the matches between them add up to where each match starts and ends. The
 reported. Two more kinds, vendor-prefixed tokens and long runs that mix digits with small and capital letters, are only
 candidates. Every candidate's value is hashed, and over the whole corpus each hash's distinct repositories and owners are
 counted: values of `wide` or more owners are widely copied examples, others are owner-specific and look live. Candidates of the further kinds
-are added as spans if they look live and overlap no base span.
+are added as spans if they look live and overlap no candidate of a kind before theirs.
 
 Only candidates leave the text's row: places and hashes, in the shared folder. Distinct pairs of hash and owner are combined before the
 shuffle, so a value that a third of all rows hold is no one task's work, and counts meet candidates again in an equality join that
@@ -74,9 +74,8 @@ def verdicts(found: DataFrame, wide: int = 3) -> DataFrame:
     each = found.filter(F.size("spans") > 0).select(F.col("row").alias("of"), F.explode("spans").alias("x")).select("of", "x.*")
     judged = each.join(ownership(found, wide), "hash")
     lists = judged.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "live", "owners", "repositories"))).alias("judged"))
-    base = F.filter("judged", lambda x: x["rank"] < len(BASE))
-    added = lambda x: (x["rank"] >= len(BASE)) & x["live"] & ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    lists = lists.withColumn("base", base).select("of", F.filter("judged", lambda x: (x["rank"] < len(BASE)) | added(x)).alias("judged"))
+    added = lambda x: (x["rank"] >= len(BASE)) & x["live"] & ~F.exists("judged", lambda b: (b["rank"] < x["rank"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    lists = lists.select("of", F.filter("judged", lambda x: (x["rank"] < len(BASE)) | added(x)).alias("judged"))
     return found.drop("spans").join(lists, F.col("row") == F.col("of"), "left").drop("of")
 
 

@@ -31,7 +31,7 @@ from .components import components
 
 _SPACE = np.ones(256, bool)
 _SPACE[[32, *range(9, 14)]] = False
-_PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+_PRINTS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("fp", pa.int64())])
 _ANCHORS = pa.schema([("anchor", pa.int64()), ("fp", pa.int64())])
 
 
@@ -55,17 +55,18 @@ def fingerprint(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, shingle:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp) of each row's whole text; fp is a signed long."""
+    """(doc_id, text_hash, fp) of each row's whole text; fp is a signed long."""
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[int] = []
-            for _, run in shared.slices(batch.column(1).to_pylist()):
+            for _, run in shared.slices(batch.column(2).to_pylist()):
                 raw, starts, ends, _, first = shared.words_of(run, _SPACE)
                 out += [fingerprint(raw, starts[a:b], ends[a:b], shingle) for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(out, np.uint64).view(np.int64))], schema=_PRINTS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(out, np.uint64).view(np.int64))], schema=_PRINTS)
 
-    return shared.one_pass(docs, {"doc_id": "long", "text": "string"}).mapInArrow(hash_texts, "doc_id long, fp long")
+    rows = shared.one_pass(docs, {"doc_id": "long", "text": "string"}).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(hash_texts, "doc_id long, text_hash long, fp long")
 
 
 def _syndromes(x: np.ndarray, n: int) -> np.ndarray:
@@ -123,13 +124,20 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
-    """The rows of docs, with all their columns, without those of a group other than its smallest doc_id; of rows with that id one stays."""
-    known = near_duplicates(docs, shingle, distance, parts)
-    gone = known.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs, with all their columns, without those of a group other than its smallest doc_id; of rows alike in doc_id and text one stays.
 
+    Rows are told by doc_id and the text's hash, so what shares only a doc_id with a duplicate stays."""
+    known = near_duplicates(docs, shingle, distance, parts, keep=("text_hash",))
+    key = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    gone = key(known.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))).distinct()
+    twice = key(known.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))).groupBy("_id", "_hash").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    once = docs.join(gone.unionByName(twice), same, "left_anti")
+    first = docs.join(twice, same, "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    return once.unionByName(first)
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that links reach, itself included."""
     prints = shared.cut(fingerprints(docs, shingle))
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -139,7 +147,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
     joined = linked.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "least")
     # a component's least id for every fingerprint, linked or not; then for every row
     known = each.unionByName(joined).groupBy("fp").agg(F.min("least").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
