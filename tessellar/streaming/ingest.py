@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..errors import NotReady
-from ..model import SAMPLES
+from ..model import HIST, LABELS, SAMPLES, SUMMARY
 from ..sources import otlp
 from ..sources.event_time import EventTimePolicy
 from ..sources.store import Store
 from .resets import stamp
 
+STATE = f"labels {LABELS}, kind string, last_ms bigint, start_ms bigint, hist {HIST}, summary {SUMMARY}"
 IN_ORDER, OUT_OF_ORDER, TOO_LATE = "in_order", "out_of_order", "too_late"
 
 
@@ -53,28 +54,48 @@ class Ingest:
     ooo_window_ms: int = 0
     capture: str | None = None  # where messages are copied as they come
 
-    def decode(self, messages: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(samples, refused datapoints) of messages."""
+    def decode(self, messages: DataFrame, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+        """(samples, refused datapoints) of messages; state has what came before them."""
         accepted, refused = self.policy.split(otlp.datapoints(messages))
-        return stamp(otlp.samples(accepted)), refused
-
-    def last_times(self) -> DataFrame | None:
-        try:
-            return self.read().groupBy("labels").agg(F.max("ts_ms").alias("last_ms"))
-        except NotReady:
-            return None
+        rows = otlp.samples(accepted)
+        if state is not None:  # the newest samples before come first in write order, and go again
+            before = state.filter("hist is not null or summary is not null").select("labels", F.lit("").alias("metric"), F.col("last_ms").alias("ts_ms"), "kind", F.lit(None).cast("double").alias("value"), F.lit(False).alias("is_stale"), "start_ms", F.lit("cumulative").alias("temporality"), F.lit(None).cast("int").alias("reset_hint"), "hist", "summary", F.lit(-1).cast("bigint").alias("write_seq"))
+            rows = rows.unionByName(before)
+        return stamp(rows).filter("write_seq >= 0"), refused
+
+    def state(self, batch: int) -> DataFrame | None:
+        """A row for each series and kind as of the batch before: its largest time, and its newest histogram or summary. It grows with series, not samples."""
+        for k in range(batch - 1, max(-1, batch - 3), -1):
+            try:
+                return self.spark.read.schema(STATE).parquet(f"{self.path}_state/batch={k}")
+            except Exception as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+        return None
+
+    def _write_state(self, state: DataFrame | None, kept: DataFrame, batch: int) -> None:
+        typed = F.when(~F.col("is_stale") & (F.col("hist").isNotNull() | F.col("summary").isNotNull()), F.col("write_seq"))
+        newest = kept.groupBy("labels", "kind").agg(F.max("ts_ms").alias("last_ms"), *(F.max_by(c, typed).alias(c) for c in ("start_ms", "hist", "summary")), F.lit(1).alias("_new"))
+        if state is not None:
+            newest = newest.unionByName(state.withColumn("_new", F.lit(0)))
+            known = F.when(F.col("hist").isNotNull() | F.col("summary").isNotNull(), F.col("_new"))
+            newest = newest.groupBy("labels", "kind").agg(F.max("last_ms").alias("last_ms"), *(F.max_by(c, known).alias(c) for c in ("start_ms", "hist", "summary")))
+        newest.select("labels", "kind", "last_ms", "start_ms", "hist", "summary").write.mode("overwrite").parquet(f"{self.path}_state/batch={batch}")
 
     def take(self, messages: DataFrame, batch: int) -> None:
-        """Write one batch; the same number again replaces what it wrote."""
+        """Write one batch; the same number again replaces what it wrote, starting from the same state."""
         if self.capture:
             otlp.write_capture(messages, f"{self.capture}/batch={batch}")
-        rows, _ = self.decode(messages)
-        kept = lanes(rows, self.last_times(), self.ooo_window_ms, self.window_ms).filter(F.col("lane") != TOO_LATE)
+        state = self.state(batch)
+        rows, _ = self.decode(messages, state)
+        known = None if state is None else state.groupBy("labels").agg(F.max("last_ms").alias("last_ms"))
+        kept = lanes(rows, known, self.ooo_window_ms, self.window_ms).filter(F.col("lane") != TOO_LATE)
         # of one batch, the out-of-order lane is written after the in-order one
         seq = F.lit(batch << 40) + F.when(F.col("lane") == OUT_OF_ORDER, F.lit(1 << 39)).otherwise(F.lit(0)) + F.pmod(F.col("write_seq"), F.lit(1 << 39))
         out = kept.withColumn("write_seq", seq).withColumn("window_start", window_start("ts_ms", self.window_ms)).withColumn("batch", F.lit(batch)).drop("lane")
         out = out.repartition("metric").sortWithinPartitions("metric", "labels", "ts_ms")
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start", "batch").parquet(self.path)
+        self._write_state(state, kept, batch)  # after the samples: a batch that fails between them is taken again from the same state
 
     def start(self, messages: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return messages.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -103,6 +103,8 @@ def test_stream(spark, tmp_path):
     batch = Store(otlp.samples(otlp.datapoints(otlp.read_capture(spark, str(source)))), typed=True)
     assert at(spark, batch, "sum_over_time(g[1m])", 10_000) == first
     assert at(spark, ingest.store(), "histogram_count(h)", 10_000) == {"job=a": 9} == at(spark, batch, "histogram_count(h)", 10_000)
+    hints = {(r["ts_ms"], r["kind"]): r["reset_hint"] for r in ingest.read().collect()}
+    assert [hints[t, "hist"] for t in (3_000, 6_000, 9_000)] == [0, 2, 2]  # compared across batches
     n = ingest.read().count()
     ingest.take(otlp.read_capture(spark, str(source / "2.json")), 2)
     assert ingest.read().count() == n
