@@ -46,8 +46,6 @@ class Store:
     typed: bool = False
     columns: dict[str, str] = field(default_factory=dict)
     boundaries: tuple[float, ...] = ()  # for the buckets that exponential histograms show
-    names: frozenset[str] | None = None  # metrics it may hold, if known
-    limits: dict[str, int] = field(default_factory=dict)
 
     def scan(self, matchers: tuple[Matcher, ...], low: int | None, high: int | None, metric: Column | None = None) -> DataFrame:
         """Samples whose labels satisfy all matchers and whose time is in [low, high]."""

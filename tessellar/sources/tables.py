@@ -19,12 +19,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "event_type", F.col("user_id").cast("string").alias("user_id"), "value", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(ts AS TIMESTAMP_NTZ)) div 1000").alias("t"))
 
 
-def _store(samples: DataFrame, metric: str, *flat: str, **more) -> Store:
-    return Store(samples, unique=True, columns={}, names=frozenset({metric}), **more)
+def _store(samples: DataFrame) -> Store:
+    return Store(samples, unique=True)
 
 
 def event_value(spark: SparkSession, sf_dir: str) -> Store:
-    return _store(floats(_events(spark, sf_dir), "event_value", F.col("t"), F.col("value"), event_type="event_type", user_id="user_id"), "event_value")
+    return _store(floats(_events(spark, sf_dir), "event_value", F.col("t"), F.col("value"), event_type="event_type", user_id="user_id"))
 
 
 def event_value_again(spark: SparkSession, sf_dir: str) -> Store:
@@ -38,7 +38,7 @@ def event_value_again(spark: SparkSession, sf_dir: str) -> Store:
 def event_stale(spark: SparkSession, sf_dir: str) -> Store:
     """event_value where every tenth event is a stale marker."""
     rows = _events(spark, sf_dir)
-    return _store(floats(rows, "event_value", F.col("t"), F.col("value"), stale=F.col("event_id") % 10 == 0, event_type="event_type", user_id="user_id"), "event_value")
+    return _store(floats(rows, "event_value", F.col("t"), F.col("value"), stale=F.col("event_id") % 10 == 0, event_type="event_type", user_id="user_id"))
 
 
 def event_count(spark: SparkSession, sf_dir: str) -> Store:
@@ -55,7 +55,7 @@ def event_buckets(spark: SparkSession, sf_dir: str) -> Store:
     """Classic histograms: at each event of a type, the running count of values up to each bound."""
     rows = _events(spark, sf_dir).withColumn("b", F.explode(F.array(*(F.struct(F.lit(t).alias("le"), F.lit(v).alias("bound")) for t, v in [("10", 10.0), ("50", 50.0), ("100", 100.0), ("250", 250.0), ("+Inf", math.inf)]))))
     running = F.sum((F.col("value") <= F.col("b.bound")).cast("double")).over(Window.partitionBy("event_type", "b.le").orderBy("t", "event_id"))
-    return _store(floats(rows.withColumn("c", running), "event_value_bucket", F.col("t"), F.col("c"), event_type="event_type", le=F.col("b.le")), "event_value_bucket")
+    return _store(floats(rows.withColumn("c", running), "event_value_bucket", F.col("t"), F.col("c"), event_type="event_type", le=F.col("b.le")))
 
 
 def _typed(rows: DataFrame, metric: str, kind: str, hist: Column | None, summary: Column | None) -> DataFrame:
