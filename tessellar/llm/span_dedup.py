@@ -123,6 +123,7 @@ def dedup_spans(docs: DataFrame, run: int = 3, words: int = 16, long: int = 24)
     twice = shared.bitmap(span_counts(docs, run, words, long), "span", BITS)
     every = spans(docs, docs.sparkSession.sparkContext.broadcast(twice), run, words, long)
     firsts = every.groupBy("span").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
+    firsts = shared.cut(firsts)  # a table of its own, so that the join can split what a frequent run has on the other side
     again = every.join(firsts, "span").filter(F.struct("doc_id", "text_hash", "start") != F.col("first"))
     cuts = again.groupBy(F.col("doc_id").alias("cut_id"), F.col("text_hash").alias("cut_hash")).agg(F.collect_set(F.struct("start", "end")).alias("cut"), F.sort_array(F.collect_set("first.doc_id")).alias("first_docs"))
     joined = _rows(docs).join(cuts, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("text_hash") == F.col("cut_hash")), "left").select("doc_id", "text", "cut", "first_docs")
