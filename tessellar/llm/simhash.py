@@ -146,7 +146,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
     least = linked.groupBy("root").agg(F.min("least").alias("least"))
     joined = linked.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "least")
     # a component's least id for every fingerprint, linked or not; then for every row
-    known = each.unionByName(joined).groupBy("fp").agg(F.min("least").alias("component_id"))
+    known = shared.cut(each.unionByName(joined).groupBy("fp").agg(F.min("least").alias("component_id")))  # so that the join can split copies
     return prints.join(known, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep)
 
 
