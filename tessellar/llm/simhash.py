@@ -127,7 +127,11 @@ def keep_first(docs: DataFrame, shingle: int = 3, distance: int = 2, parts: int
     """The rows of docs, with all their columns, without those of a group other than its smallest doc_id; of rows alike in doc_id and text one stays.
 
     Rows are told by doc_id and the text's hash, so what shares only a doc_id with a duplicate stays."""
-    known = near_duplicates(docs, shingle, distance, parts, keep=("text_hash",))
+    return keep_first_known(docs, near_duplicates(docs, shingle, distance, parts, keep=("text_hash",)))
+
+
+def keep_first_known(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """keep_first with the groups already known, as (doc_id, text_hash, component_id) of each row."""
     key = lambda rows: rows.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     gone = key(known.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))).distinct()
     twice = key(known.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))).groupBy("_id", "_hash").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n")
