@@ -3,7 +3,8 @@
 Each text has two histograms: of character classes (small and capital letters, digits, white space, signs, symbols, others), and of
 its language's common words and all other words. Each language's reference is the mean histogram, over the whole corpus, of its texts that pass the base rules
 and the length guards. A text is rejected if a base rule fails, or if the Jensen-Shannon distance (base 2, so 0 to 1) of a
-histogram from its language's reference is over its limit. Guards: characters count from `min_chars` on, words from
+histogram from its language's reference is over its limit. The limit of words is `common_share` of the distance at which a text without
+any common word of its language lies from the reference (`max_common` at most), so lacking them is enough to be rejected. Guards: characters count from `min_chars` on, words from
 `min_words` on; shorter texts have no reliable histogram and pass.
 
 Everything but the references is within a row. Histograms are written once (a few numbers a text); their sums are combined before the
@@ -100,7 +101,7 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
-def divergence_rules(docs: DataFrame, max_classes: float = 0.28, max_common: float = 0.45, min_chars: int = 200, min_words: int = 60) -> DataFrame:
+def divergence_rules(docs: DataFrame, max_classes: float = 0.28, max_common: float = 0.45, min_chars: int = 200, min_words: int = 60, common_share: float = 0.9) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance) of each row; distances are null where a guard holds."""
     rows = shared.cut(histograms(base_rules(docs)).withColumn("lang", F.coalesce("lang", F.lit(""))))
     sound = rows.filter(~F.col("base_failed") & (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words))
@@ -108,13 +109,14 @@ def divergence_rules(docs: DataFrame, max_classes: float = 0.28, max_common: flo
     sums = [F.avg(F.get("classes", F.lit(k))).alias(f"c{k}") for k in range(7)] + [F.avg(F.get("common", F.lit(k))).alias(f"w{k}") for k in range(size)]
     refs = sound.groupBy("lang").agg(*sums)
     refs = refs.select(F.col("lang").alias("of"), F.array(*(f"c{k}" for k in range(7))).alias("ref_classes"), F.when(F.col("w0").isNotNull(), F.array(*(f"w{k}" for k in range(size)))).alias("ref_common"))
-    refs = shared.cut(refs)
+    none = F.array(*[F.lit(0.0)] * (size - 1), F.lit(1.0))  # of a text without common words
+    refs = shared.cut(refs.withColumn("word_limit", F.least(F.lit(max_common), F.lit(common_share) * distance(none, F.col("ref_common")))))
     if refs.limit(MAX_LANGUAGES + 1).count() <= MAX_LANGUAGES:
         refs = F.broadcast(refs)
     out = rows.join(refs, F.col("lang") == F.col("of"), "left")
     out = out.withColumn("class_distance", F.when(F.col("n_chars") >= min_chars, distance(F.col("classes"), F.col("ref_classes"))))
     out = out.withColumn("word_distance", F.when(F.col("n_words") >= min_words, distance(F.col("common"), F.col("ref_common"))))
-    far = (F.coalesce("class_distance", F.lit(0.0)) > max_classes) | (F.coalesce("word_distance", F.lit(0.0)) > max_common)
+    far = (F.coalesce("class_distance", F.lit(0.0)) > max_classes) | F.coalesce(F.col("word_distance") > F.col("word_limit"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), "class_distance", "word_distance")
 
 
