@@ -147,7 +147,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, parts:
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(each, distance, parts))
     linked = roots.join(each, roots["node"] == each["fp"]).select("node", "root", "least")
-    least = linked.groupBy("root").agg(F.min("least").alias("least"))
+    least = shared.cut(linked.groupBy("root").agg(F.min("least").alias("least")))  # likewise, for a component of very many fingerprints
     joined = linked.select("node", "root").join(least, "root").select(F.col("node").alias("fp"), "least")
     # a component's least id for every fingerprint, linked or not; then for every row
     known = shared.cut(each.unionByName(joined).groupBy("fp").agg(F.min("least").alias("component_id")))  # so that the join can split copies
