@@ -12,7 +12,7 @@ through in error falls out of the exact joins. Words are compared by 64-bit hash
 is occurrences of prefix words and counts of benchmark words, never texts.
 
 Null or empty texts and items have no words: a text gets zeros, an item no window. Windows that several items share count for each
-of them. Rows of documents that share a doc_id share their hits; a repeated item changes nothing. An empty benchmark hits nothing, an
+of them. Rows are told apart by doc_id and text; a repeated item changes nothing, an item without an id is none. An empty benchmark hits nothing, an
 empty documents table gives no rows, further columns are not read.
 """
 
@@ -50,7 +50,7 @@ def item_windows(items: DataFrame, window: int = 8) -> DataFrame:
                 out = [(names[at + k], words[i : min(i + window, b)].tolist()) for k, (a, b) in enumerate(zip(first[:-1], first[1:], strict=True)) if b > a for i in range(a, max(a, b - window) + 1)]
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([x for _, x in out], pa.list_(pa.int64()))], ["item_id", "words"])
 
-    rows = shared.one_pass(items, {"item_id": "string", "text": "string"}).mapInArrow(cut, "item_id string, words array<long>")
+    rows = shared.one_pass(items, {"item_id": "string", "text": "string"}).filter("item_id is not null").mapInArrow(cut, "item_id string, words array<long>")
     return rows.distinct()
 
 
@@ -70,13 +70,13 @@ def word_counts(docs: DataFrame, bitmap) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, bitmap, window: int = 8) -> DataFrame:
-    """(doc_id, n_words, found array of (word, place, around)): around has the window - 1 words before, the word and as many after; 0 beyond the ends."""
+    """(doc_id, text_hash, n_words, found array of (word, place, around)): around has the window - 1 words before, the word and as many after; 0 beyond the ends."""
     kind = pa.struct([("word", pa.int64()), ("place", pa.int64()), ("around", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = batch.column(0)
-            for at, run in shared.slices(batch.column(1).to_pylist()):
+            names, hashes = batch.column(0), batch.column(1)
+            for at, run in shared.slices(batch.column(2).to_pylist()):
                 words, first = _tokens(run)
                 hits = np.flatnonzero(shared.listed(bitmap.value, words))
                 owner = np.searchsorted(first, hits, "right") - 1
@@ -87,9 +87,10 @@ def occurrences(docs: DataFrame, bitmap, window: int = 8) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(hits) * width + 1, width, dtype=np.int32)), pa.array(around.ravel()))
                 found = pa.StructArray.from_arrays([pa.array(words[hits]), pa.array(hits - first[owner]), lists], fields=list(kind))
                 per_text = pa.ListArray.from_arrays(pa.array(np.searchsorted(owner, np.arange(len(run) + 1)).astype(np.int32)), found)
-                yield pa.RecordBatch.from_arrays([names.slice(at, len(run)), pa.array(np.diff(first).astype(np.int64)), per_text], ["doc_id", "n_words", "found"])
+                yield pa.RecordBatch.from_arrays([names.slice(at, len(run)), hashes.slice(at, len(run)), pa.array(np.diff(first).astype(np.int64)), per_text], ["doc_id", "text_hash", "n_words", "found"])
 
-    return shared.one_pass(docs, {"doc_id": "long", "text": "string"}).mapInArrow(find, "doc_id long, n_words long, found array<struct<word: long, place: long, around: array<long>>>")
+    rows = shared.one_pass(docs, {"doc_id": "long", "text": "string"}).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return rows.mapInArrow(find, "doc_id long, text_hash long, n_words long, found array<struct<word: long, place: long, around: array<long>>>")
 
 
 def _covered(spans):
@@ -99,7 +100,7 @@ def _covered(spans):
     return F.aggregate(spans, start, step, lambda s: s["n"])
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each document; contaminated from min_items items on."""
     context = docs.sparkSession.sparkContext
     windows = shared.cut(item_windows(items, window))
@@ -110,17 +111,24 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 8, min_items:
     ranked = places.join(rarity, "word", "left").groupBy("item_id", "words").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("prefix"))
     prefixes = shared.cut(ranked.select("item_id", "words", F.col("prefix.word").alias("word"), F.col("prefix.place").cast("long").alias("at"), F.size("words").alias("length")))
     found = shared.cut(occurrences(docs, context.broadcast(shared.bitmap(prefixes, "word", BITS)), window))
-    each = found.select("doc_id", "n_words", F.explode("found").alias("x")).select("doc_id", "n_words", "x.word", "x.place", "x.around")
+    row = ["doc_id", "text_hash"]
+    each = found.select(*row, "n_words", F.explode("found").alias("x")).select(*row, "n_words", "x.word", "x.place", "x.around")
     start = F.col("place") - F.col("at")
     bounded = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("around", F.lit(window) - F.col("at").cast("int"), F.col("length")) == F.col("words")
-    hits = each.join(prefixes, "word").filter(bounded & same).select("doc_id", "item_id", start.alias("start"), (start + F.col("length")).alias("end"))
-    per_doc = hits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
-    per_doc = per_doc.select(F.col("doc_id").alias("hit_id"), _covered(F.col("spans")).alias("n_hit"), F.col("items"))
-    out = found.select("doc_id", "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
+    hits = each.join(prefixes, "word").filter(bounded & same).select(*row, "item_id", start.alias("start"), (start + F.col("length")).alias("end"))
+    per_doc = hits.groupBy(*row).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"), F.sort_array(F.collect_set("item_id")).alias("items"))
+    per_doc = per_doc.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), _covered(F.col("spans")).alias("n_hit"), F.col("items"))
+    out = found.select(*row, "n_words").join(per_doc, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     n_items = F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long")
     listed = F.coalesce(F.array_join("items", ","), F.lit(""))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"))
+    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), n_items.alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (n_items >= min_items).alias("contaminated"), *keep)
+
+
+def keep_clean(docs: DataFrame, items: DataFrame, window: int = 8, min_items: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, that hold windows of fewer than min_items items."""
+    bad = decontaminate(docs, items, window, min_items, keep=("text_hash",)).filter("contaminated").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("__hash")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

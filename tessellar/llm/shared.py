@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,11 +22,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own if that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a local session gets one of its own, which goes when Python ends; on a cluster it is an error."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='tessellar-')}"
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="tessellar-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        named = f"file://{own}"
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
     return named
@@ -36,13 +42,22 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
-def written(frame: DataFrame, name: str) -> DataFrame:
-    """The frame as a Parquet table in the shared folder, read again."""
-    path = f"{scratch_dir(frame.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(frame: DataFrame, path: str) -> DataFrame:
+    """The frame as a Parquet table, read again."""
     frame.write.parquet(path)
     return frame.sparkSession.read.parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ours that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def fold(doc_id: Column) -> Column:
     """The remainder that says whether a row is held out: crc32 of the id as text, modulo 4."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4
@@ -139,10 +154,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def strings(batch: pa.RecordBatch, name: str) -> list[str | None]:
-    return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
 def one_pass(frame: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Only the named columns, cast; what else a table has, under whatever name, can't clash with what is added."""
     return frame.select(*(F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()))
