@@ -29,8 +29,6 @@ from . import shared, tokens
 ROOM = 2048
 #: Pieces in a bucket, about: what one task packs.
 BUCKET_PIECES = 20_000
-#: Times that pieces are exchanged, at most.
-ROUNDS = 6
 _PIECES = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
 _PACKED = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long, bucket long, bin long, offset long, filled long, bins long, bound long, rest boolean"
 
@@ -120,7 +118,7 @@ def _packed(pieces: DataFrame, buckets: int, salt: int, room: int) -> DataFrame:
     return pieces.withColumn("bucket", key).groupBy("bucket").applyInPandas(pack, _PACKED)
 
 
-def pack_sequences(pieces: DataFrame, room: int = ROOM, bucket_pieces: int = BUCKET_PIECES, rounds: int = ROUNDS) -> DataFrame:
+def pack_sequences(pieces: DataFrame, room: int = ROOM, bucket_pieces: int = BUCKET_PIECES) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, copy, piece, start, length, ids_crc32), which are read more than once: pass them written."""
     keep = ["doc_id", "copy", "piece", "start", "length", "ids_crc32"]
     number = lambda k: F.lit(k << 56) + F.col("bucket") * F.lit(1 << 24) + F.col("bin")
@@ -133,7 +131,7 @@ def pack_sequences(pieces: DataFrame, room: int = ROOM, bucket_pieces: int = BUC
         final.append(stands.withColumn("sequence_id", number(k)).select(*keep, "sequence_id", "offset"))
         count, bins, volume = open_.agg(F.count("*"), F.count_distinct("bucket", "bin"), F.sum("length")).first()
         fewer = max(1, min(buckets - 1, -(-count // bucket_pieces)))
-        if buckets == 1 or k >= rounds or not count or bins <= -(-(volume or 0) // room):
+        if buckets == 1 or not count or bins <= -(-(volume or 0) // room):
             break
         again = shared.cut(_packed(open_.select(*keep), fewer, k + 1, room))
         now = again.agg(F.count_distinct("bucket", "bin")).first()[0]

@@ -7,8 +7,9 @@ number. The place of every 256th one-bit is kept, so that `boundary(i)` finds on
 and no table of 64-bit offsets exists.
 
 Documents are dealt out by ranges of doc_id and sorted within them; a task writes its files one by one and holds one of
-them at a time. A file is written under a name of its own and renamed when whole, so a task that runs again after a lost
-executor replaces it by the same bytes. Numbers of files, ids and documents have no bound but the 64 bits of the counters.
+them at a time. Each attempt of a task writes under names of its own, and only the names of the attempt that ended well reach the manifest, so a task that runs again
+after a lost executor, or twice at once, needs no rename. A file's place among all ids is a sum over the parts before its own and the files before it in its
+part. Reading takes starts and ends from select, a few thousand documents at a time. Numbers of files, ids and documents have no bound but the 64 bits of the counters.
 
 Null or empty texts have only the end id. A null doc_id comes first, rows that share a doc_id lie side by side ordered
 by text, an empty table gives no file and no row, further columns are not read.
@@ -33,6 +34,8 @@ from . import shared, tokens
 MAGIC = b"EFTOKEN1"
 #: A file is ended when it has so many bytes of ids.
 FILE_BYTES = 16 << 20
+#: Documents that reading takes at a time.
+READ_DOCS = 4096
 #: One in so many one-bits has its place kept.
 SAMPLE = 256
 _HEAD = struct.Struct("<8sIIQQQq")
@@ -78,6 +81,22 @@ class EliasFano:
         part = np.unpackbits(self.low[first // 8 : (first + self.low_bits + 7) // 8], bitorder="little")[first % 8 : first % 8 + self.low_bits]
         return (place - i) << self.low_bits | sum(int(b) << k for k, b in enumerate(part))
 
+    def span(self, a: int, b: int) -> np.ndarray:
+        """Select for a run: the numbers from a to b (exclusive), from the kept places around them."""
+        if b <= a:
+            return np.zeros(0, np.int64)
+        first, after = a // SAMPLE, (b - 1) // SAMPLE + 1
+        byte = int(self.samples[first]) // 8
+        stop = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[byte:stop], bitorder="little")) + byte * 8
+        skip = np.searchsorted(places, int(self.samples[first])) + a % SAMPLE
+        out = (places[skip : skip + b - a] - np.arange(a, b)) << self.low_bits
+        if self.low_bits:
+            low = a * self.low_bits
+            bits = np.unpackbits(self.low[low // 8 : (b * self.low_bits + 7) // 8], bitorder="little")[low % 8 :][: (b - a) * self.low_bits]
+            out |= (bits.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits, dtype=np.int64)).sum(axis=1)
+        return out
+
     def all(self) -> np.ndarray:
         ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little")).astype(np.uint64) - np.arange(self.n, dtype=np.uint64)
         out = ones << np.uint64(self.low_bits)
@@ -148,11 +167,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         part, seq, names, pieces, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def flush() -> pa.RecordBatch:
-            path, raw = f"part-{part:06d}-{seq:06d}.ef", pack(names, pieces, encode.kind.itemsize)
-            own = f"{root}/_{path}.{TaskContext.get().taskAttemptId()}"
-            with store.open_output_stream(own) as out:
+            path, raw = f"part-{part:06d}-{seq:06d}-{TaskContext.get().taskAttemptId()}.ef", pack(names, pieces, encode.kind.itemsize)
+            with store.open_output_stream(f"{root}/{path}") as out:
                 out.write(raw)
-            store.move(own, f"{root}/{path}")
             return pa.RecordBatch.from_arrays([[part], [seq], [f"{folder}/{path}"], [len(names)], [size // encode.kind.itemsize], [len(raw)]], schema=_MANIFEST)
 
         for batch in batches:
@@ -173,7 +190,9 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """From the files alone: (doc_id, start, n_tokens, ids_crc32), a row for each document; the order of files is (part, seq)."""
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a file
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", before("n", Window.orderBy("part")).alias("base"))  # a row a task that wrote
+    placed = manifest.withColumn("inside", before("n_ids", Window.partitionBy("part").orderBy("seq"))).join(parts, "part")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -181,12 +200,14 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 store, name = _open(path)
                 with store.open_input_file(name) as source:
                     file = TokenFile(source.read())
-                ends = file.ends.all().astype(np.int64)
-                crcs = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-                names = [None] * file.n_null + [file.base + int(x) for x in file.names.all()]
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], schema=_OUT)
-
-    placed = manifest.withColumn("start", before.cast("long")).select("path", "start")
+                for at in range(0, file.n_docs, READ_DOCS):
+                    to = min(at + READ_DOCS, file.n_docs)
+                    ends = file.ends.span(at, to + 1)
+                    crcs = [zlib.crc32(file.ids[a:b].astype("<u4").tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+                    names = [None] * max(0, min(to, file.n_null) - at) + [file.base + int(x) for x in file.names.span(max(at - file.n_null, 0), max(to - file.n_null, 0))]
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(start + ends[:-1]), pa.array(np.diff(ends)), pa.array(crcs, pa.int64())], schema=_OUT)
+
+    placed = placed.select("path", (F.col("base") + F.col("inside")).cast("long").alias("start"))
     return placed.repartition(F.xxhash64("path")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
