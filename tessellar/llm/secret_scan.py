@@ -4,14 +4,14 @@ Candidates are found by patterns in each whole text, with their places: a text i
 and of the matches between them add up to where each match starts and ends. The base kinds (assign, access, hex) are always
 reported. Two more kinds, vendor-prefixed tokens and long runs that mix digits with small and capital letters, are only
 candidates. Every candidate's value is hashed, and over the whole corpus each hash's distinct repositories and owners are
-counted: values of `wide` or more owners are widely copied examples, others are owner-specific and look live. Candidates of the further kinds
+counted: values of `wide` or more owners, or in `copied` or more repositories, are widely copied examples; others are owner-specific and look live. Candidates of the further kinds
 are added as spans if they look live and overlap no candidate of a kind before theirs.
 
 Only candidates leave the text's row: places and hashes, in the shared folder. Distinct pairs of hash and owner are combined before the
-shuffle, so a value that a third of all rows hold is no one task's work, and counts meet candidates again in an equality join that
-can be split where a value is frequent. Texts and values themselves are never shuffled.
+shuffle, so a value that a third of all rows hold is no one task's work. Counts are written as a table of their own before they meet candidates again, so that join has a
+shuffle of its own, in which the skew join can split a frequent value. Texts and values themselves are never shuffled.
 
-A null or empty text has no spans. Rows are apart even if they share a doc_id. A null owner counts as one owner. An empty table gives no
+A null or empty text has no spans. Rows are apart even if they share a doc_id. A null owner, or repository, counts as one, apart from an empty one. An empty table gives no
 rows; further columns are not read. Places are code points, ends exclusive.
 """
 
@@ -61,18 +61,19 @@ def scan(docs: DataFrame, owner: str = "source", repository: str = "doc_id", kee
     return rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "owner", "repository", *keep, spans.alias("spans"))
 
 
-def ownership(found: DataFrame, wide: int = 3) -> DataFrame:
+def ownership(found: DataFrame, wide: int = 3, copied: int = 10) -> DataFrame:
     """(hash, owners, repositories, live): how many distinct owners and repositories hold each candidate value."""
-    each = found.select("owner", "repository", F.explode("spans").alias("x")).select(F.coalesce("owner", F.lit("")).alias("owner"), F.coalesce("repository", F.lit("")).alias("repository"), F.col("x.hash").alias("hash"))
+    named = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")).alias(c)
+    each = found.select(named("owner"), named("repository"), F.explode("spans").alias("x")).select("owner", "repository", F.col("x.hash").alias("hash"))
     owners = each.select("hash", "owner").distinct().groupBy("hash").agg(F.count("*").alias("owners"))
     repositories = each.select("hash", "repository").distinct().groupBy("hash").agg(F.count("*").alias("repositories"))
-    return owners.join(repositories, "hash").withColumn("live", F.col("owners") < wide)
+    return owners.join(repositories, "hash").withColumn("live", (F.col("owners") < wide) & (F.col("repositories") < copied))
 
 
-def verdicts(found: DataFrame, wide: int = 3) -> DataFrame:
+def verdicts(found: DataFrame, wide: int = 3, copied: int = 10) -> DataFrame:
     """found with spans that tell (start, end, rank, live) in order, candidates of the further kinds dropped where they count for nothing."""
     each = found.filter(F.size("spans") > 0).select(F.col("row").alias("of"), F.explode("spans").alias("x")).select("of", "x.*")
-    judged = each.join(ownership(found, wide), "hash")
+    judged = each.join(shared.cut(ownership(found, wide, copied)), "hash")
     lists = judged.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("start", "rank", "end", "live", "owners", "repositories"))).alias("judged"))
     added = lambda x: (x["rank"] >= len(BASE)) & x["live"] & ~F.exists("judged", lambda b: (b["rank"] < x["rank"]) & (b["start"] < x["end"]) & (x["start"] < b["end"]))
     lists = lists.select("of", F.filter("judged", lambda x: (x["rank"] < len(BASE)) | added(x)).alias("judged"))
@@ -85,10 +86,10 @@ def _text(spans: Column) -> Column:
     return F.coalesce(F.array_join(listed, ","), F.lit(""))
 
 
-def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide: int = 3) -> DataFrame:
+def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide: int = 3, copied: int = 10) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_examples) of each row."""
     judged = F.coalesce("judged", F.array().cast("array<struct<start: long, rank: int, end: long, live: boolean, owners: long, repositories: long>>"))
-    out = verdicts(shared.cut(scan(docs, owner, repository)), wide).select("doc_id", judged.alias("judged"))
+    out = verdicts(shared.cut(scan(docs, owner, repository)), wide, copied).select("doc_id", judged.alias("judged"))
     of_rank = lambda k: lambda x: x["rank"] == k
     counted = lambda test: F.size(F.filter("judged", test)).cast("long")
     return out.select(
@@ -101,12 +102,12 @@ def secrets(docs: DataFrame, owner: str = "source", repository: str = "doc_id",
     )
 
 
-def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide: int = 3, mark: str = "[secret]") -> DataFrame:
+def redact(docs: DataFrame, owner: str = "source", repository: str = "doc_id", wide: int = 3, copied: int = 10, mark: str = "[secret]") -> DataFrame:
     """docs with every span that looks live replaced by mark in text, and n_chars (where docs has it) counted anew; other rows as they were."""
     columns = docs.columns
     found = shared.cut(scan(docs.withColumn("_hash", F.xxhash64("text")), owner, repository, keep=("_hash",)))
     live = F.filter("judged", lambda x: x["live"])
-    cuts = verdicts(found, wide).filter(F.size(live) > 0).groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).agg(F.first(live).alias("_live"))  # rows alike in both have the same spans
+    cuts = verdicts(found, wide, copied).filter(F.size(live) > 0).groupBy(F.col("doc_id").alias("_id"), F.col("_hash").alias("_of")).agg(F.first(live).alias("_live"))  # rows alike in both have the same spans
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
 
     def step(state: Column, x: Column) -> Column:
