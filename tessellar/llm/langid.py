@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .samples import TRAIN_CHARS, labelled_sample
+from .samples import labelled_sample, stretch
 
 _LETTER = re.compile(r"[^\W\d_]")
 _KEEP = np.full(256, 32, np.uint8)
@@ -128,8 +128,8 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred"
 def identify(docs: DataFrame, per_lang: int = 1000) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) of each row, by a model learned from rows that are not held out."""
     rows = shared.one_pass(docs, {"doc_id": "long", "text": "string", "lang": "string"})
-    usable = rows.filter((shared.fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= TRAIN_CHARS))
-    got = labelled_sample(usable, "lang", per_lang).select("text", "lang").collect()
+    usable = rows.filter((shared.fold(F.col("doc_id")) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    got = labelled_sample(usable, "lang", per_lang).select(stretch(F.col("text")).alias("text"), "lang").collect()
     model = fit([r["text"] for r in got], [r["lang"] for r in got]) if got else None
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages numbers of 4 bytes
 

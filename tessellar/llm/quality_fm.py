@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .samples import TRAIN_CHARS, labelled_sample
+from .samples import labelled_sample, stretch
 from .simhash import _SPACE
 
 #: Words in a stretch.
@@ -166,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> Machine
     """A machine for labels.quality, learned from rows that are not held out; a number where labels do not differ."""
     known = shared.one_pass(labels, {"doc_id": "long", "quality": "int"}).filter((shared.fold(F.col("doc_id")) != 2) & F.col("quality").isin(0, 1))
     chosen = labelled_sample(known, "quality", per_label)  # at most 4 x per_label rows of two numbers
-    texts = shared.one_pass(docs, {"doc_id": "long", "text": "string"}).filter(F.coalesce(F.length("text"), F.lit(0)) <= TRAIN_CHARS)
-    got = texts.join(F.broadcast(chosen), "doc_id").select("text", "quality").limit(4 * per_label).collect()
+    texts = shared.one_pass(docs, {"doc_id": "long", "text": "string"})
+    got = texts.join(F.broadcast(chosen), "doc_id").select(stretch(F.col("text")).alias("text"), "quality").limit(4 * per_label).collect()
     values = {r["quality"] for r in got}
     if len(values) < 2:
         return float(values.pop()) if values else 0.5
