@@ -3,17 +3,18 @@
 Markup is stripped first: comments, scripts, styles and the like go with what they hold, and so do parts whose element, role, class or
 id names them as page furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments). Block elements end
 lines; each line keeps its text, with character references decoded and white space turned into one space, and how much of it is
-link text. Then text lengths (without links) are summed over sliding windows of `window` lines. A surge point is a line with text where
-the sum rises above a threshold; the dive point after it is where the sum falls to the floor. The text between
+link text. Then each line has a mass, and masses are summed over sliding windows of `window` lines. A surge point is a line where
+the sum rises above a threshold, a share of the largest sum; the dive point after it is where the sum falls to the floor. The text between
 surge and dive is kept, short lines included.
 
-Where the page marks its article (article, main, role=main, itemprop=articleBody) the lines are those of the marked part, in
-which all text counts: the threshold is zero, so the surge point is its first line with text and the dive point its last. Without such a mark the
-threshold is a share of the largest window's sum, and lines of mostly link text count as empty.
+A line's mass is its length without links, at most CAP, or 0 if it is mostly links. Where the page marks its article (article, main, role=main, itemprop=articleBody), and the marked
+lines hold a good part of the page's text, marks are a prior: a marked line counts PRIOR more, another line a quarter; the floor is PRIOR / 2, which only marked lines
+rise above, and a surge needs a line that alone outweighs its share of the threshold. Marks of a small part (cards beside a story) say nothing; such pages, and pages without marks, go by
+lengths alone, with the floor at zero.
 
 A null or empty page, or one without text, gives an empty text. Unclosed or wrongly nested elements end with what is
-around them. Pages are handled one at a time, by rows; a page's memory is a small multiple of its size. Repeated rows each
-give their row, an empty table none; further columns are not read.
+around them. Time is linear in the page's length, whatever its markup: after a quote that never ends, tags end at the next >. Pages are handled one at a time, by rows; a page's memory is a
+small multiple of its size. Repeated rows each give their row, an empty table none; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
+#: What follows a tag's name up to its end, quoted parts whole; nothing is tried twice.
+_REST = re.compile(r"""[^>"']*+(?:(?:"[^"]*+"|'[^']*+')[^>"']*+)*+>""")
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|hidden|style|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _SPACE = re.compile(r"\s+")
 #: What these hold is no text; it is skipped up to the end tag without being read as markup.
@@ -44,8 +47,14 @@ _ARTICLE_NAME = re.compile(r"(?:^|[^a-z])(?:articlebody|article-?(?:body|content
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split())
 #: An opening tag of these ends an open element of the named ones.
-_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_PARAGRAPH = {"p"}
+_ENDS = {"li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}, "option": {"p", "option"}}
 _FENCE = frozenset("ul ol dl table article section div main body html".split())
+#: An article element of such a class is furniture too.
+_ASIDE_NAME = re.compile(r"(?:^|\s)(?:comments?|comment-?(?:body|item|entry)|repl(?:y|ies)|related|teaser|promo|sponsored|advert(?:isement)?)(?:\s|$)")
+#: A line's length counts up to CAP; a marked line has PRIOR more.
+CAP = 400
+PRIOR = 600
 
 
 class Line:
@@ -72,12 +81,49 @@ def _named(attributes: str) -> tuple[bool, bool]:
     return furniture and not article, article
 
 
+def tags(page: str) -> Iterator[tuple[str, str, str, str, int]]:
+    """(text before, "/" or "", name, attributes, end) of each tag in turn, and at last the rest as text with an empty name. The caller may send a place to go on from."""
+    at = begin = 0
+    last = page.rfind(">")
+    quotes = True
+    text: list[str] = []
+    while True:
+        lt = page.find("<", at)
+        if lt < 0 or lt > last:  # no tag ends any more; one that has begun is no text
+            m = _NAME.match(page, lt + 1) if lt >= 0 else None
+            yield "".join((*text, page[begin : lt if m else len(page)])), "", "", "", len(page)
+            return
+        if page.startswith("<!--", lt):
+            text.append(page[begin:lt])
+            stop = page.find("-->", lt + 4)
+            begin = at = stop + 3 if stop >= 0 else len(page)
+        elif page.startswith(("<!", "<?"), lt):
+            text.append(page[begin:lt])
+            end = "]]>" if page.startswith("<![CDATA[", lt) else ">"
+            stop = page.find(end, lt)
+            begin = at = stop + len(end) if stop >= 0 else len(page)
+        elif m := _NAME.match(page, lt + 1):
+            rest = _REST.match(page, m.end()) if quotes else None
+            if rest is None:
+                quotes = False  # a quote without an end: from here on they mean nothing
+            end = rest.end() if rest else page.find(">", m.end()) + 1
+            text.append(page[begin:lt])
+            on = yield "".join(text), m[1], m[2].lower(), page[m.end() : end - 1], end
+            text = []
+            begin = at = end if on is None else on
+        else:
+            at = lt + 1
+
+
 def lines_of(page: str) -> list[Line]:
     """The page's lines with text outside furniture, in page order."""
     out: list[Line] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool, bool]] = []  # name, furniture, article, link: each for the element or one around it
+    open_names: dict[str, int] = {}  # of the whole stack, so that no end tag walks it in vain
+    levels: list[dict[str, int]] = [{}]  # the same from each fence on, the fence included
+    fences: list[int] = []
     furniture = article = link = False
     breaks = 0
 
@@ -93,17 +139,23 @@ def lines_of(page: str) -> list[Line]:
 
     def leave(depth: int) -> None:
         nonlocal furniture, article, link
-        end = any(x[0] in _BLOCK for x in stack[depth:])
-        if end:
+        if any(x[0] in _BLOCK for x in stack[depth:]):
             end_line()
+        for at in range(len(stack) - 1, depth - 1, -1):
+            name = stack[at][0]
+            open_names[name] -= 1
+            if fences and fences[-1] == at:
+                fences.pop()
+                levels.pop()
+            else:
+                levels[-1][name] -= 1
         del stack[depth:]
         furniture, article, link = stack[-1][1:] if stack else (False, False, False)
 
-    at = 0
-    find = _TAG.search
+    found, on = tags(page), None
     while True:
-        m = find(page, at)
-        text = page[at : m.start() if m else len(page)]
+        text, closing, name, attributes, end = found.send(on)
+        on = None
         if text and not furniture:
             if "&" in text:
                 text = html.unescape(text)
@@ -112,26 +164,22 @@ def lines_of(page: str) -> list[Line]:
             parts.append(text)
             if link:
                 linked += len(text)
-        if not m:
+        if not name:
             break
-        at = m.end()
-        if not m[2]:
-            continue
-        name = m[2].lower()
-        if m[1]:  # an end tag
-            if name == "p" and not any(x[0] == "p" for x in stack):
+        if closing:
+            if name == "p" and not open_names.get("p"):
                 end_line()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    leave(depth)
-                    break
-                if stack[depth][0] in ("article", "main", "body") and name not in _BLOCK:
-                    break
+            level = open_names if name in _BLOCK else levels[-1]
+            if level.get(name):
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                leave(depth)
             continue
         if name in _RAW:
-            if not m[3].rstrip().endswith("/"):
-                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else len(page)
+            if not attributes.rstrip().endswith("/"):
+                stop = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, end)
+                on = stop.end() if stop else len(page)
             continue
         if name == "br":
             parts.append(" ")
@@ -141,42 +189,47 @@ def lines_of(page: str) -> list[Line]:
             continue
         if name in _BLOCK:
             end_line()
-            ends = _ENDS.get(name, set()) | {"p"}
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] in ends:
-                    leave(depth)
-                    break
-                if stack[depth][0] in _FENCE and name not in ("tr",):
-                    break
+            ends = _ENDS.get(name, _PARAGRAPH)
+            if any(levels[-1].get(x) for x in ends):
+                depth = len(stack) - 1
+                while stack[depth][0] not in ends:
+                    depth -= 1
+                leave(depth)
         if name in _VOID:
             continue
-        is_furniture, is_article = _named(m[3]) if m[3] else (False, False)
+        is_furniture, is_article = _named(attributes) if attributes else (False, False)
         if name in ("article", "main"):
-            is_furniture, is_article = False, True
+            is_furniture = name == "article" and any(_ASIDE_NAME.search((m[2] or m[3] or m[4] or "").lower()) for m in _ATTRIBUTE.finditer(attributes) if m[1].lower() == "class")
+            is_article = not is_furniture
         elif name == "body" or name == "html":
             is_furniture = False
         elif name in _FURNITURE and not is_article:
             is_furniture = True
-        if m[3].endswith("/") and name not in _BLOCK:
+        if attributes.endswith("/") and name not in _BLOCK:
             continue
         furniture, article, link = furniture or is_furniture, article or is_article, link or name == "a"
+        if name in _FENCE:
+            fences.append(len(stack))
+            levels.append({})
         stack.append((name, furniture, article, link))
+        open_names[name] = open_names.get(name, 0) + 1
+        levels[-1][name] = levels[-1].get(name, 0) + 1
     end_line()
     return out
 
 
-def between(lengths: np.ndarray, window: int, threshold: float) -> np.ndarray:
-    """Which lines lie between a surge point and its dive point."""
-    n = len(lengths)
+def between(masses: np.ndarray, window: int, threshold: float, floor: float = 0.0, lead: float = 0.0) -> np.ndarray:
+    """Which lines lie between a surge point, a line of more mass than lead, and its dive point."""
+    n = len(masses)
     keep = np.zeros(n, bool)
-    sums = np.concatenate(([0], np.cumsum(lengths)))
+    sums = np.concatenate(([0], np.cumsum(masses)))
     block = sums[np.minimum(np.arange(n) + window, n)] - sums[:n]  # of each line and the next ones
     i = 0
     while i < n:
-        if lengths[i] and block[i] > threshold:  # surge
+        if masses[i] > lead and block[i] > threshold:  # surge
             j = last = i
-            while j < n and block[j] > 0:  # dive: no text in a whole window
-                if lengths[j]:
+            while j < n and block[j] > floor:  # dive
+                if masses[j] > lead:
                     last = j
                 j += 1
             keep[i : last + 1] = True
@@ -191,17 +244,20 @@ def extract(page: str | None, window: int = 3, share: float = 0.2) -> str:
     if not page:
         return ""
     lines = lines_of(page)
-    marked = [x for x in lines if x.article]
-    if marked:
-        lines, threshold = marked, 0.0
-        lengths = np.array([len(x.text) for x in lines])
-        window = max(window, len(lines))  # one marked part: its text has no dive inside
-    else:
-        lengths = np.array([0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in lines], np.int64)
-        sums = np.concatenate(([0], np.cumsum(lengths)))
-        threshold = share * max([0, *(sums[window:] - sums[:-window])]) if len(lines) > window else 0.0
-    keep = between(lengths, window, threshold) if lines else []
-    return "\n".join(x.text for x, kept in zip(lines, keep, strict=True) if kept and len(x.text))
+    if not lines:
+        return ""
+    lengths = np.array([0 if 2 * x.linked > len(x.text) else len(x.text) - x.linked for x in lines], np.int64)
+    marked = np.array([x.article for x in lines])
+    masses = np.minimum(lengths, CAP).astype(float)
+    trusted = 4 * sum(len(x.text) for x in lines if x.article) >= lengths[~marked].sum() and marked.any()
+    if trusted:
+        own = np.array([len(x.text) for x in lines])  # in an article links are text too
+        masses = np.where(marked, np.minimum(own, CAP) + PRIOR, masses / 4)
+    sums = np.concatenate(([0], np.cumsum(masses)))
+    blocks = sums[np.minimum(np.arange(len(lines)) + window, len(lines))] - sums[:-1]
+    threshold = share * float(blocks.max()) if trusted or len(lines) > window else 0.0
+    keep = between(masses, window, threshold, *((PRIOR / 2, threshold / window) if trusted else (0.0, 0.0)))
+    return "\n".join(x.text for x, kept in zip(lines, keep, strict=True) if kept)
 
 
 _OUT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
