@@ -1,9 +1,10 @@
 """Range functions over float samples, for every evaluation time at once.
 
-Windows that slide by less than their length overlap; so what can be merged (sums, extremes, counters) is first
-aggregated into slots, the greatest pieces that all windows are made of, and only slots are repeated for the windows that they are in. Counter
-functions see each sample's predecessor once, by a window over the series, before anything is repeated: what the first sample in a window
-adds is taken off again. As that window deals out by labels, the aggregates after it need no further shuffle."""
+Windows that slide by less than their length overlap; so what can be merged (sums, extremes, moments, counters, edges) is first
+aggregated into slots, the greatest pieces that all windows are made of, and only slots are repeated for the windows that they are in. Functions of
+neighbours (counters, changes, resets, irate, idelta, delta) see each sample's predecessor once, by a window over the series, before anything is repeated: what the first sample in a window
+adds is taken off again. As that window deals out by labels, the aggregates after it need no further shuffle. Only quantiles and smoothing, which need all values in order, take
+windows of samples."""
 
 from __future__ import annotations
 
@@ -18,15 +19,20 @@ from .grid import Grid
 MOST_SLOTS = 512
 
 
-def _slots(rows: DataFrame, grid: Grid, length: int, offset: int, parts: dict[str, Column]) -> DataFrame:
-    """rows (labels, ts_ms, ...) aggregated by series and slot, and each slot once for every evaluation time whose window has it."""
+def _slot_end(grid: Grid, length: int, offset: int) -> Column:
+    """The end of a sample's slot, which is in the slot."""
     g = grid.slot(length)
-    if length // g > MOST_SLOTS:
-        return rows.withColumn("eval_ms", F.explode(grid.times(F.col("ts_ms"), length, offset))).groupBy("labels", "eval_ms").agg(*(v.alias(k) for k, v in parts.items()))
     s = grid.start - offset
-    shift = -(-max(s, 0) // g) + 1
-    end = (F.call_function("div", F.col("ts_ms") - F.lit(s) + F.lit(g - 1 + shift * g), F.lit(g).cast("bigint")) - shift) * g + s
-    slots = rows.withColumn("slot", end).groupBy("labels", "slot").agg(*(v.alias(k) for k, v in parts.items()))
+    shift = -(-(max(s, 0) + length) // g) + 1
+    return (F.call_function("div", F.col("ts_ms") - F.lit(s) + F.lit(g - 1 + shift * g), F.lit(g).cast("bigint")) - shift) * g + s
+
+
+def _slots(rows: DataFrame, grid: Grid, length: int, offset: int, parts: dict[str, Column], *also: str) -> DataFrame:
+    """rows (labels, ts_ms, ...) aggregated by series, slot and the columns of also, and each slot once for every evaluation time whose window has it."""
+    g = grid.slot(length)
+    if length // g > MOST_SLOTS:
+        return rows.withColumn("eval_ms", F.explode(grid.times(F.col("ts_ms"), length, offset))).groupBy("labels", "eval_ms", *also).agg(*(v.alias(k) for k, v in parts.items()))
+    slots = rows.withColumn("slot", _slot_end(grid, length, offset)).groupBy("labels", "slot", *also).agg(*(v.alias(k) for k, v in parts.items()))
     return slots.withColumn("eval_ms", F.explode(grid.times(F.col("slot"), length - g + 1, offset))).drop("slot")
 
 
@@ -34,32 +40,41 @@ def _windows(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame
     return rows.withColumn("eval_ms", F.explode(grid.times(F.col("ts_ms"), length, offset)))
 
 
-def latest(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
+def _last_of_steps(rows: DataFrame, grid: Grid, length: int, offset: int, columns: tuple[str, ...]) -> DataFrame:
+    """Of the samples of a series between two evaluation times only the newest, where windows overlap: no window's newest sample is another."""
+    if not (grid.size > 1 and grid.step < length):
+        return rows
+    s, p = grid.start - offset, grid.step
+    shift = -(-(max(s, 0) + length) // p) + 1
+    step = F.call_function("div", F.col("ts_ms") - F.lit(s) + F.lit(p - 1 + shift * p), F.lit(p).cast("bigint"))
+    return rows.groupBy("labels", step.alias("slot")).agg(*(F.max_by(c, "ts_ms").alias(c) for c in columns), F.max("ts_ms").alias("ts_ms"))
+
+
+def latest(rows: DataFrame, grid: Grid, length: int, offset: int, columns: tuple[str, ...] = ("value", "is_stale")) -> DataFrame:
     """(labels, eval_ms, src_ms, value, is_stale): the newest sample in each window; of a step's samples only the last is repeated."""
-    if grid.size > 1 and grid.step < length:
-        s, p = grid.start - offset, grid.step
-        shift = -(-(max(s, 0) + length) // p) + 1
-        step = F.call_function("div", F.col("ts_ms") - F.lit(s) + F.lit(p - 1 + shift * p), F.lit(p).cast("bigint"))
-        rows = rows.groupBy("labels", step.alias("slot")).agg(F.max_by("value", "ts_ms").alias("value"), F.max_by("is_stale", "ts_ms").alias("is_stale"), F.max("ts_ms").alias("ts_ms"))
-    return _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(F.max("ts_ms").alias("src_ms"), F.max_by("value", "ts_ms").alias("value"), F.max_by("is_stale", "ts_ms").alias("is_stale"))
+    rows = _last_of_steps(rows, grid, length, offset, columns)
+    return _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(F.max("ts_ms").alias("src_ms"), *(F.max_by(c, "ts_ms").alias(c) for c in columns))
 
 
-def _moments(rows, grid, length, offset) -> DataFrame:
-    scale = 2.0**-64
+def _moments(rows, grid, length, offset, needed: tuple[str, ...]) -> DataFrame:
+    """The aggregates that a function needs, merged over slots."""
     v = F.col("value")
-    parts = {"n": F.count("*"), "s": F.sum("value"), "scaled": F.sum(v * scale), "finite": F.max(F.when(ieee.is_finite(v), 0).otherwise(1)), "low": F.min("value"), "high": F.max(F.when(~F.isnan(v), v)), "last": F.max_by("value", "ts_ms"), "at": F.max("ts_ms")}
-    slots = _slots(rows, grid, length, offset, parts)
-    return slots.groupBy("labels", "eval_ms").agg(F.sum("n").cast("double").alias("n"), F.sum("s").alias("s"), F.sum("scaled").alias("scaled"), F.max("finite").alias("finite"), F.min("low").alias("low"), F.max("high").alias("high"), F.max_by("last", "at").alias("last"))
+    parts = {"n": F.count("*"), "s": F.sum("value"), "scaled": F.sum(v * 2.0**-64), "finite": F.max(F.when(ieee.is_finite(v), 0).otherwise(1)), "low": F.min("value"), "high": F.max(F.when(~F.isnan(v), v)), "last": F.max_by("value", "ts_ms"), "at": F.max("ts_ms")}
+    merged = {"n": F.sum("n").cast("double"), "s": F.sum("s"), "scaled": F.sum("scaled"), "finite": F.max("finite"), "low": F.min("low"), "high": F.max("high"), "last": F.max_by("last", "at")}
+    kept = {*needed, "at"} if "last" in needed else {*needed}
+    slots = _slots(rows, grid, length, offset, {k: p for k, p in parts.items() if k in kept})
+    return slots.groupBy("labels", "eval_ms").agg(*(merged[k].alias(k) for k in needed))
 
 
+#: function: (the aggregates that it needs, its value)
 _MOMENTS = {
-    "sum_over_time": lambda: F.col("s"),
-    "count_over_time": lambda: F.col("n"),
-    "present_over_time": lambda: F.lit(1.0),
-    "avg_over_time": lambda: F.when((F.abs("s") == float("inf")) & (F.col("finite") == 0), F.col("scaled") / F.col("n") * 2.0**64).otherwise(F.col("s") / F.col("n")),
-    "min_over_time": lambda: F.col("low"),
-    "max_over_time": lambda: F.coalesce("high", F.lit(ieee.NAN)),
-    "last_over_time": lambda: F.col("last"),
+    "sum_over_time": (("s",), lambda: F.col("s")),
+    "count_over_time": (("n",), lambda: F.col("n")),
+    "present_over_time": (("n",), lambda: F.lit(1.0)),
+    "avg_over_time": (("s", "n", "scaled", "finite"), lambda: F.when((F.abs("s") == float("inf")) & (F.col("finite") == 0), F.col("scaled") / F.col("n") * 2.0**64).otherwise(F.col("s") / F.col("n"))),
+    "min_over_time": (("low",), lambda: F.col("low")),
+    "max_over_time": (("high",), lambda: F.coalesce("high", F.lit(ieee.NAN))),
+    "last_over_time": (("last",), lambda: F.col("last")),
 }
 
 
@@ -113,45 +128,64 @@ def _changes(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame
     return slots.groupBy("labels", "eval_ms").agg((F.sum("c") - F.min_by("c0", "t0")).cast("double").alias("value"))
 
 
-def _ordered(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
-    """Each window's samples in order, as w; and `clean`, those after the last that is not finite, with the time to count from."""
-    sample = F.struct("ts_ms", "value", F.coalesce("reset_hint", F.lit(0)).alias("hint"))
-    w = _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(F.array_sort(F.collect_list(sample)).alias("w"))
-    last_bad = F.array_max(F.transform("w", lambda x, i: F.when(ieee.is_finite(x["value"]), F.lit(-1)).otherwise(i)))
-    w = w.withColumn("bad_at", last_bad)
-    end = F.col("eval_ms") - offset
-    w = w.withColumn("from_ms", F.when(F.col("bad_at") >= 0, F.greatest(F.get("w", F.col("bad_at"))["ts_ms"], end - length)).otherwise(end - length))
-    return w.withColumn("clean", F.slice("w", F.col("bad_at") + 2, F.size("w"))).withColumn("n", F.size("clean"))
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """rows with their predecessors in the series (pv, pt) and seg, how many samples that are not finite the series has had, the sample included."""
+    series = Window.partitionBy("labels").orderBy("ts_ms")
+    bad = (~ieee.is_finite(F.col("value"))).cast("int")
+    return rows.withColumns({"pv": F.lag("value").over(series), "pt": F.lag("ts_ms").over(series), "seg": F.sum(bad).over(series), "hint": F.coalesce("reset_hint", F.lit(0))})
+
+
+def _after_odd(rows: DataFrame, grid: Grid, length: int, offset: int, parts: dict[str, Column], merged: dict[str, Column]) -> DataFrame:
+    """Of each window what stands after its last sample that is not finite: parts by slot and seg, merged by seg, of which the last counts."""
+    slots = _slots(rows, grid, length, offset, parts, "seg")
+    by_seg = slots.groupBy("labels", "eval_ms", "seg").agg(*(v.alias(k) for k, v in merged.items()))
+    return by_seg.groupBy("labels", "eval_ms").agg(*(F.max_by(k, "seg").alias(k) for k in merged))
 
 
 def _delta(rows, grid, length, offset) -> DataFrame:
-    w = _ordered(rows, grid, length, offset).filter("n >= 2")
-    first, last = F.get("clean", F.lit(0)), F.get("clean", F.col("n") - 1)
-    f = factor(F.col("n"), first["ts_ms"], last["ts_ms"], F.col("from_ms"), F.col("eval_ms") - offset, None, None)
-    return w.withColumn("value", (last["value"] - first["value"]) * f)
+    fine = ieee.is_finite(F.col("value"))
+    at, v = F.when(fine, F.col("ts_ms")), F.when(fine, F.col("value"))
+    parts = {"n": F.count(v), "t0": F.min(at), "t1": F.max(at), "v0": F.min_by(v, at), "v1": F.max_by(v, at), "odd": F.max(F.when(~fine, F.col("ts_ms")))}
+    merged = {"n": F.sum("n"), "v0": F.min_by("v0", "t0"), "v1": F.max_by("v1", "t1"), "t0": F.min("t0"), "t1": F.max("t1"), "odd": F.max("odd")}
+    w = _after_odd(_neighbours(rows).drop("pv", "pt"), grid, length, offset, parts, merged).filter("n >= 2")
+    end = F.col("eval_ms") - offset
+    f = factor(F.col("n"), F.col("t0"), F.col("t1"), F.greatest(end - length, F.col("odd")), end, None, None)
+    return w.withColumn("value", (F.col("v1") - F.col("v0")) * f)
 
 
 def _last_two(rows, grid, length, offset, rate: bool) -> DataFrame:
-    w = _ordered(rows, grid, length, offset).filter("n >= 2")
-    a, b = F.get("clean", F.col("n") - 2), F.get("clean", F.col("n") - 1)
+    """The newest sample of each window with its predecessor, if that is in the window and both are finite."""
+    rows = _last_of_steps(_neighbours(rows), grid, length, offset, ("value", "pv", "pt", "hint"))
+    w = _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(*(F.max_by(c, "ts_ms").alias(c) for c in ("value", "pv", "pt", "hint")), F.max("ts_ms").alias("ts_ms"))
+    w = w.filter(ieee.is_finite(F.col("value")) & ieee.is_finite(F.col("pv")) & (F.col("pt") > F.col("eval_ms") - offset - length))
+    v, before, hint = F.col("value"), F.col("pv"), F.col("hint")
     if not rate:
-        return w.withColumn("value", b["value"] - a["value"])
-    less = b["value"] < a["value"]
-    grown = F.when((b["hint"] == GAUGE) | (b["hint"] == NOT_RESET) & less, F.lit(None)).when((b["hint"] == RESET) | less, b["value"]).otherwise(b["value"] - a["value"])
-    return w.withColumn("value", grown / ((b["ts_ms"] - a["ts_ms"]) / 1000.0))
+        return w.withColumn("value", v - before)
+    less = v < before
+    grown = F.when((hint == GAUGE) | (hint == NOT_RESET) & less, F.lit(None)).when((hint == RESET) | less, v).otherwise(v - before)
+    return w.withColumn("value", grown / ((F.col("ts_ms") - F.col("pt")) / 1000.0))
 
 
 def _resets(rows, grid, length, offset) -> DataFrame:
-    w = _ordered(rows, grid, length, offset).filter("n >= 1")
-    pairs = F.zip_with(F.slice("clean", F.lit(1), F.col("n") - 1), F.slice("clean", F.lit(2), F.greatest(F.col("n") - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    less = lambda x: x["b"]["value"] < x["a"]["value"]
-    void = F.exists(pairs, lambda x: (x["b"]["hint"] == GAUGE) | (x["b"]["hint"] == NOT_RESET) & less(x))
-    n = F.size(F.filter(pairs, lambda x: (x["b"]["hint"] == RESET) | less(x)))
-    return w.withColumn("value", F.when(~void, n.cast("double")))
+    fine = ieee.is_finite(F.col("value"))
+    pair, less = fine & ieee.is_finite(F.col("pv")), F.col("value") < F.col("pv")
+    reset = F.coalesce(pair & ((F.col("hint") == RESET) | less), F.lit(False)).cast("int")
+    void = F.coalesce(pair & ((F.col("hint") == GAUGE) | (F.col("hint") == NOT_RESET) & less), F.lit(False)).cast("int")
+    rows = _neighbours(rows).withColumns({"fine": fine.cast("int"), "reset": reset, "void": void})
+    first = lambda c: F.min_by(c, "ts_ms")
+    parts = {"n": F.sum("fine"), "t0": F.min("ts_ms"), "r": F.sum("reset"), "r0": first("reset"), "x": F.sum("void"), "x0": first("void")}
+    merged = {"n": F.sum("n"), "r": F.sum("r") - F.min_by("r0", "t0"), "x": F.sum("x") - F.min_by("x0", "t0")}
+    return _after_odd(rows, grid, length, offset, parts, merged).filter("n >= 1 and x = 0").withColumn("value", F.col("r").cast("double"))
+
+
+def _ordered(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
+    """Each window's samples in order, as w; bad tells whether one is not finite."""
+    w = _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "value"))).alias("w"), F.max(~ieee.is_finite(F.col("value"))).alias("bad"))
+    return w.filter(F.size("w") >= 2)
 
 
 def _smooth(rows, grid, length, offset, sf: float, tf: float) -> DataFrame:
-    w = _ordered(rows, grid, length, offset).filter(F.size("w") >= 2)
+    w = _ordered(rows, grid, length, offset)
     v = lambda i: F.get("w", F.lit(i))["value"]
     zero = F.struct(v(0).alias("s"), (v(1) - v(0)).alias("t"))
 
@@ -160,17 +194,47 @@ def _smooth(rows, grid, length, offset, sf: float, tf: float) -> DataFrame:
         return F.struct(smooth.alias("s"), (tf * (smooth - state["s"]) + (1.0 - tf) * state["t"]).alias("t"))
 
     smoothed = F.aggregate(F.slice("w", F.lit(2), F.size("w")), zero, step, lambda s: s["s"])
-    return w.withColumn("value", F.when(F.col("bad_at") >= 0, ieee.NAN).otherwise(smoothed))
+    return w.withColumn("value", F.when(F.col("bad"), ieee.NAN).otherwise(smoothed))
+
+
+def _overlap(grid: Grid, length: int) -> bool:
+    """Whether windows share slots, so that aggregating those first spares repeating samples."""
+    return grid.size > 1 and grid.step < length and length // grid.slot(length) <= MOST_SLOTS
+
+
+def _variance(rows, grid, length, offset) -> DataFrame:
+    """Population variances. Overlapping windows merge slots' counts, means and variances; means are taken from a mean of the series, so that large values lose no digits."""
+    v = F.col("value")
+    if not _overlap(grid, length):
+        return _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(F.var_pop(v).alias("value"))
+    g = grid.slot(length)
+    slots = rows.withColumn("slot", _slot_end(grid, length, offset)).groupBy("labels", "slot").agg(F.count("*").cast("double").alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
+    near = F.first(F.when(ieee.is_finite(F.col("mean")), F.col("mean")), ignorenulls=True).over(Window.partitionBy("labels").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    slots = slots.withColumn("d", F.col("mean") - F.coalesce(near, F.lit(0.0)))
+    w = slots.withColumn("eval_ms", F.explode(grid.times(F.col("slot"), length - g + 1, offset))).groupBy("labels", "eval_ms")
+    w = w.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("nd"), F.sum(F.col("n") * (F.col("var") + F.col("d") * F.col("d"))).alias("ndd"))
+    out = F.col("ndd") / F.col("n") - (F.col("nd") / F.col("n")) * (F.col("nd") / F.col("n"))
+    return w.withColumn("value", F.when(F.isnan(out), ieee.NAN).otherwise(F.greatest(out, F.lit(0.0))))
 
 
 def _regression(rows, grid, length, offset, ahead: float | None) -> DataFrame:
-    w = _windows(rows, grid, length, offset)
+    """Least squares over x, seconds from the middle of the window. Of slots the sums are taken from the slot's end and moved there when they are merged."""
     fine = ieee.is_finite(F.col("value"))
-    x, y = (F.col("ts_ms") - F.col("eval_ms")) / 1000.0, F.when(fine, F.col("value")).otherwise(0.0)
-    w = w.groupBy("labels", "eval_ms").agg(F.count("*").cast("double").alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(x * y).alias("xy"), F.max((~fine).cast("int")).alias("bad"))
+    y, half = F.when(fine, F.col("value")).otherwise(0.0), length / 2000.0
+    sums = lambda x: {"n": F.count("*").cast("double"), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "xy": F.sum(x * y), "bad": F.max((~fine).cast("int"))}
+    if _overlap(grid, length):
+        g = grid.slot(length)
+        rows = rows.withColumn("slot", _slot_end(grid, length, offset))
+        slots = rows.groupBy("labels", "slot").agg(*(v.alias(k) for k, v in sums((F.col("ts_ms") - F.col("slot")) / 1000.0).items()))
+        w = slots.withColumn("eval_ms", F.explode(grid.times(F.col("slot"), length - g + 1, offset)))
+        n, x, d = F.col("n"), F.col("x"), (F.col("slot") + offset - F.col("eval_ms")) / 1000.0 + half
+        merged = {"n": F.sum("n"), "x": F.sum(x + n * d), "y": F.sum("y"), "xx": F.sum(F.col("xx") + 2.0 * d * x + n * d * d), "xy": F.sum(F.col("xy") + d * F.col("y")), "bad": F.max("bad")}
+    else:
+        w, merged = _windows(rows, grid, length, offset), sums((F.col("ts_ms") + offset - F.col("eval_ms")) / 1000.0 + half)
+    w = w.groupBy("labels", "eval_ms").agg(*(v.alias(k) for k, v in merged.items()))
     cov, var = F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("xx") - F.col("x") * F.col("x") / F.col("n")
     slope = cov / F.nullif(var, F.lit(0.0))
-    out = slope if ahead is None else F.col("y") / F.col("n") - slope * (F.col("x") / F.col("n")) + slope * ahead
+    out = slope if ahead is None else F.col("y") / F.col("n") + slope * (half - offset / 1000.0 + ahead - F.col("x") / F.col("n"))
     return w.filter("bad = 1 or n >= 2").withColumn("value", F.when(F.col("bad") == 1, ieee.NAN).otherwise(out))
 
 
@@ -181,7 +245,8 @@ DROP_NOT_FINITE = ("delta", "irate", "idelta", "changes", "resets", "count_over_
 def evaluate(name: str, rows: DataFrame, grid: Grid, length: int, offset: int = 0, params: tuple[float, ...] = ()) -> DataFrame:
     """(labels, eval_ms, value) of a range function over float samples (labels, ts_ms, value, reset_hint) that are not stale."""
     if name in _MOMENTS:
-        out = _moments(rows, grid, length, offset).withColumn("value", _MOMENTS[name]())
+        needed, value = _MOMENTS[name]
+        out = _moments(rows, grid, length, offset, needed).withColumn("value", value())
     elif name in ("rate", "increase"):
         out = counter(rows, grid, length, offset, name == "rate")
     elif name == "delta":
@@ -192,10 +257,12 @@ def evaluate(name: str, rows: DataFrame, grid: Grid, length: int, offset: int =
         out = _changes(rows, grid, length, offset)
     elif name == "resets":
         out = _resets(rows, grid, length, offset)
-    elif name in ("stddev_over_time", "stdvar_over_time", "quantile_over_time"):
-        v = F.col("value")
-        value = ieee.quantile(v, params[0]) if name[0] == "q" else F.var_pop(v) if name == "stdvar_over_time" else F.stddev_pop(v)
-        out = _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(value.alias("value"))
+    elif name in ("stddev_over_time", "stdvar_over_time"):
+        out = _variance(rows, grid, length, offset)
+        if name == "stddev_over_time":
+            out = out.withColumn("value", F.sqrt("value"))
+    elif name == "quantile_over_time":
+        out = _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(ieee.quantile(F.col("value"), params[0]).alias("value"))
     elif name in ("deriv", "predict_linear"):
         out = _regression(rows, grid, length, offset, params[0] if params else None)
     else:
