@@ -11,8 +11,10 @@ from dataclasses import dataclass
 from urllib.parse import parse_qs
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .errors import Invalid, LimitExceeded, NotReady, QueryError
+from .functions import histograms
 from .functions.names import float_text
 from .plans import engine
 from .plans.syntax import UNITS, is_scalar, parse
@@ -56,7 +58,11 @@ def _number(value: float) -> str:
 
 
 def _histogram(h) -> dict:
-    return {"count": _number(h["count"]), **({} if h["sum"] is None else {"sum": _number(h["sum"])})}
+    """count, sum and buckets [rule, lower, upper, count]: rule 0 is open at the left, 1 at the right, 3 closed on both sides."""
+    out = {"count": _number(h["count"]), **({} if h["sum"] is None else {"sum": _number(h["sum"])})}
+    rule = {"neg": 1, "pos": 0}
+    found = [[3 if kind == "line" and h["exp"] else rule.get(kind, 0), _number(low), _number(high), _number(n)] for low, high, n, kind in histograms._spans(h if isinstance(h, dict) else h.asDict(True)) if n]
+    return out | ({"buckets": found} if found else {})
 
 
 def _point(row) -> tuple[str, list]:
@@ -127,9 +133,15 @@ class Api:
 
 
 def fingerprint(frame: DataFrame, ordered: bool = False) -> str:
-    """SHA-256 of a result's rows: in their order, or whatever their order."""
+    """SHA-256 of a result's rows: in their order, or whatever their order. Without order the rows' hashes are added up in Spark, and the driver sees the sums."""
     digest = hashlib.sha256()
+    if not ordered:
+        row = F.sha2(F.to_json(F.struct("labels", "eval_ms", F.hex(F.col("value").cast("string").cast("binary")).alias("value"))), 256)
+        parts = frame.select(*(F.conv(F.substring(row, 1 + 8 * k, 8), 16, 10).cast("decimal(38,0)").alias(f"p{k}") for k in range(8)))
+        sums = parts.agg(F.count("*"), *(F.sum(f"p{k}") for k in range(8))).first()
+        digest.update(" ".join(str(x) for x in sums).encode())
+        return digest.hexdigest()
     lines = (json.dumps([[(x["name"], x["value"]) for x in r["labels"]], r["eval_ms"], None if r["value"] is None else float(r["value"]).hex()]) for r in frame.toLocalIterator())
-    for line in lines if ordered else sorted(lines):
+    for line in lines:
         digest.update(line.encode() + b"\n")
     return digest.hexdigest()

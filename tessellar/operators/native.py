@@ -1,5 +1,5 @@
-"""Operators over vectors with native histograms. Rows meet by joins and aggregates; what happens to histograms of one row is Arrow batches
-through tessellar.functions.histograms (Arrow, as NaN would become NULL through pandas)."""
+"""Operators over vectors with native histograms. Rows meet by joins and aggregates; what happens to one histogram is Columns (functions.hist_columns), what brings several into
+one layout Arrow batches through functions.histograms (Arrow, as NaN would become NULL through pandas)."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import hist_columns as C
 from ..functions import histograms as H
 from ..functions import ieee
 from ..model import HIST, LABELS, drop_name
 from ..plans.syntax import SET_OPS, Aggregate, Binary
 from . import aggregate as plain
 from . import binary as joins
+from . import ranges
 from .grid import Grid
 
 _BUCKETS = pa.list_(pa.struct([("idx", pa.int32()), ("cnt", pa.float64())]))
@@ -24,6 +26,8 @@ _HIST = pa.struct(
 _LABELS = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
 _OUT = pa.schema([("labels", _LABELS), ("eval_ms", pa.int64()), ("value", pa.float64()), ("hist", _HIST)])
 _OUT_SQL = f"labels {LABELS}, eval_ms bigint, value double, hist {HIST}"
+#: Groups that a task adds up at a time.
+MOST_GROUPS = 20_000
 #: Range functions of histograms.
 RANGE = ("rate", "increase", "changes", "resets", "last_over_time", "count_over_time", "present_over_time")
 
@@ -52,16 +56,21 @@ def _each(rows: DataFrame, function: Callable[[dict], tuple[float | None, dict |
 
 
 def latest(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
-    w = rows.withColumn("eval_ms", F.explode(grid.times(F.col("ts_ms"), length, offset)))
-    w = w.groupBy("labels", "eval_ms").agg(F.max("ts_ms").alias("src_ms"), F.max_by("is_stale", "ts_ms").alias("stale"), F.max_by("hist", "ts_ms").alias("hist"))
-    return w.filter("not stale and hist is not null").select("labels", "eval_ms", F.lit(None).cast("double").alias("value"), "src_ms", "hist")
+    w = ranges.latest(rows.select("labels", "ts_ms", "is_stale", "hist"), grid, length, offset, ("is_stale", "hist"))
+    return w.filter("not is_stale and hist is not null").select("labels", "eval_ms", F.lit(None).cast("double").alias("value"), "src_ms", "hist")
 
 
 def over_range(name: str, rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
+    if name in ("last_over_time", "count_over_time", "present_over_time"):
+        fresh = rows.filter("not is_stale and hist is not null")
+        if name == "last_over_time":
+            return latest(fresh, grid, length, offset).select("labels", "eval_ms", "value", "hist")
+        n = ranges.evaluate(name, fresh.select("labels", "ts_ms", F.lit(0.0).alias("value")), grid, length, offset)
+        return n.select(drop_name(F.col("labels")).alias("labels"), "eval_ms", "value")
     sample = F.struct("ts_ms", "is_stale", F.coalesce("temporality", F.lit("")).alias("temporality"), "start_ms", "reset_hint", "hist")
     keyed = rows.withColumn("eval_ms", F.explode(grid.times(F.col("ts_ms"), length, offset)))
     w = keyed.groupBy("labels", "eval_ms").agg(F.collect_list(sample).alias("w"))
-    labels = F.col("labels") if name == "last_over_time" else drop_name(F.col("labels"))
+    labels = drop_name(F.col("labels"))
 
     def window(row: dict):
         every = sorted(row["w"], key=lambda s: s["ts_ms"])
@@ -72,10 +81,6 @@ def over_range(name: str, rows: DataFrame, grid: Grid, length: int, offset: int)
             end = row["eval_ms"] - offset
             out = H.increase(fresh, end - length, end, length / 1000.0 if name == "rate" else None)
             return None if out is None else (None, out)
-        if name == "last_over_time":
-            return None, fresh[-1]["hist"]
-        if name in ("count_over_time", "present_over_time"):
-            return float(len(fresh)) if name[0] == "c" else 1.0, None
         stale = max((i for i, s in enumerate(every) if s["is_stale"]), default=-1)
         hs = [s["hist"] for s in every[stale + 1 :] if s["hist"] is not None]
         if not hs:
@@ -92,8 +97,11 @@ def function(name: str, v: DataFrame, params: tuple[float, ...]) -> DataFrame:
     if name in ("histogram_count", "histogram_sum", "histogram_avg"):
         value = {"histogram_count": F.col("hist.count"), "histogram_sum": F.col("hist.sum"), "histogram_avg": ieee.div(F.col("hist.sum"), F.col("hist.count"))}[name]
         return rows.select("labels", "eval_ms", value.alias("value")).filter("value is not null")
-    compute = {"histogram_quantile": H.quantile, "histogram_fraction": H.fraction}[name]
-    return _each(rows, lambda row: (compute(row["hist"], *params), None)).drop("hist")
+    h = F.col("hist")
+    rows = rows.withColumn("_spans", C.spans(h))
+    if name == "histogram_fraction":
+        return rows.select("labels", "eval_ms", C.fraction(h, *params, F.col("_spans")).alias("value"))
+    return rows.withColumn("_running", C.running(h)).select("labels", "eval_ms", C.quantile(h, *params, F.col("_running"), F.col("_spans")).alias("value"))
 
 
 def aggregate(node: Aggregate, v: DataFrame, param) -> DataFrame:
@@ -104,15 +112,31 @@ def aggregate(node: Aggregate, v: DataFrame, param) -> DataFrame:
     out = plain.evaluate(node, floats, param)
     if node.op not in ("sum", "avg"):
         return out
-    # combined by salt first, so that no task holds all histograms of a large group
-    rows = hists.select(plain.grouping(node).alias("labels"), "eval_ms", "hist", (F.xxhash64("labels") % 32).alias("salt"))
-    some = rows.groupBy("labels", "eval_ms", "salt").agg(F.collect_list("hist").alias("hs"), F.count("*").alias("n"))
+    rows = hists.select(plain.grouping(node).alias("labels"), "eval_ms", "hist")
 
-    def partial(row: dict):
-        got = H.combine(row["hs"])
-        return (float(row["n"]) if got is not None else -1.0, got)
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, list] = {}  # group: [its labels, how many, their sum, or None if they have no common layout]
 
-    halves = _each(some.select("labels", "eval_ms", "hs", "n"), partial)
+        def flush() -> pa.RecordBatch:
+            got = [(x[0], key[1], float(x[1]) if x[2] is not None else -1.0, x[2]) for key, x in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in got], f.type) for k, f in enumerate(_OUT)], schema=_OUT)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = (tuple((x["name"], x["value"]) for x in row["labels"]), row["eval_ms"])
+                have = held.get(key)
+                if have is None:
+                    held[key] = [row["labels"], 1, row["hist"]]
+                else:
+                    have[1], have[2] = have[1] + 1, None if have[2] is None else H.combine([have[2], row["hist"]])
+            if len(held) > MOST_GROUPS:
+                yield flush()
+        if held:
+            yield flush()
+
+    # each task adds up its own rows before the shuffle, so a large group is a histogram a task
+    halves = rows.mapInArrow(partial, _OUT_SQL)
     whole = halves.groupBy("labels", "eval_ms").agg(F.collect_list("hist").alias("hs"), F.sum("value").alias("n"), F.min("value").alias("least"))
 
     def final(row: dict):
@@ -129,9 +153,9 @@ def scaled(op: str, v: DataFrame, scalar_left: bool) -> DataFrame | None:
     """Histograms times or over a scalar column s; other operators drop them."""
     if not (op == "*" or op == "/" and not scalar_left):
         return None
-    change = H.times if op == "*" else H.over
-    rows = v.select(drop_name(F.col("labels")).alias("labels"), "eval_ms", "hist", "s")
-    return _each(rows, lambda row: (None, change(row["hist"], row["s"])))
+    by = F.col("s")
+    change = (lambda c: c * by) if op == "*" else (lambda c: ieee.div(c, by))
+    return v.select(drop_name(F.col("labels")).alias("labels"), "eval_ms", F.lit(None).cast("double").alias("value"), C.mapped(F.col("hist"), change).alias("hist"))
 
 
 def _side(v: DataFrame, key: Column, prefix: str, message: str | None) -> DataFrame:
@@ -162,14 +186,15 @@ def binary(node: Binary, left: DataFrame, right: DataFrame) -> DataFrame:
         if m.include:
             labels = F.array_sort(F.concat(joins.drop(labels, m.include), F.filter(joins.keep(F.col(f"{one}labels"), m.include), lambda x: x["value"] != "")))
 
-    def meet(row: dict):
-        a, b = row["l_hist"], row["r_hist"]
-        if node.op in ("+", "-"):
-            got = H.add(a, b, 1.0 if node.op == "+" else -1.0)
-            return None if got is None else (None, got)
-        hit = H.equal(a, b) == (node.op == "==")
+    rows = both.select(labels.alias("labels"), "eval_ms", "l_hist", "r_hist")
+    if node.op in ("==", "!="):
+        hit = C.equal(F.col("l_hist"), F.col("r_hist")) == F.lit(node.op == "==")
         if node.bool_:
-            return float(hit), None
-        return (None, a) if hit else None
+            return with_histograms(out, rows.select("labels", "eval_ms", hit.cast("double").alias("value")))
+        return with_histograms(out, rows.filter(hit).select("labels", "eval_ms", F.lit(None).cast("double").alias("value"), F.col("l_hist").alias("hist")))
+
+    def meet(row: dict):
+        got = H.add(row["l_hist"], row["r_hist"], 1.0 if node.op == "+" else -1.0)
+        return None if got is None else (None, got)
 
-    return with_histograms(out, _each(both.select(labels.alias("labels"), "eval_ms", "l_hist", "r_hist"), meet))
+    return with_histograms(out, _each(rows, meet))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import NAME, label_name, metric_name
 from ..model import CUMULATIVE, DELTA, EXPONENTIAL, FLOAT, HIST, HISTOGRAM, LABELS, SUMMARY, SUMMARY_KIND, UNSPECIFIED
+from . import otlp_wire
 from .event_time import to_ms
 
 NO_RECORDED_VALUE = 1
@@ -38,10 +39,14 @@ def stream_capture(spark: SparkSession, path: str, max_files: int = 16) -> DataF
     return spark.readStream.schema(CAPTURE).option("maxFilesPerTrigger", max_files).json(path)
 
 
-def stream_kafka(spark: SparkSession, servers: str, topic: str, **options: str) -> DataFrame:
-    """The same columns from Kafka (its connector must be on the class path); offsets are kept by the query's checkpoint."""
-    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).options(**options).load()
-    return rows.select(F.col("offset").alias("seq"), "partition", F.unix_millis("timestamp").alias("captured_ms"), F.col("value").cast("string").alias("payload"))
+def stream_kafka(spark: SparkSession, servers: str, topic: str, assign: dict[str, list[int]] | None = None, as_json: bool = False, **options: str) -> DataFrame:
+    """The same columns from Kafka (its connector must be on the class path), whose values are protobuf unless as_json; offsets are kept by the query's checkpoint.
+
+    assign names partitions by topic, instead of a subscription to all of one."""
+    where = {"assign": json.dumps(assign)} if assign else {"subscribe": topic}
+    rows = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).options(**where).options(**options).load()
+    rows = rows.select(F.col("offset").alias("seq"), "partition", F.unix_millis("timestamp").alias("captured_ms"), F.col("value").alias("payload"))
+    return rows.withColumn("payload", F.col("payload").cast("string")) if as_json else otlp_wire.to_json(rows)
 
 
 def write_capture(messages: DataFrame, path: str, compression: str = "gzip") -> None:
@@ -55,17 +60,17 @@ def _text(value: Column) -> Column:
     return F.coalesce(value["stringValue"], value["boolValue"].cast("string"), value["intValue"], F.regexp_replace(number, r"\.0$", ""))
 
 
-def datapoints(messages: DataFrame) -> DataFrame:
+def datapoints(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """A row for each datapoint: message columns, metric, kind, temporality, resource and point attributes, point."""
     parsed = messages.select("seq", "partition", "captured_ms", F.from_json("payload", REQUEST).alias("r"))
-    metrics = parsed.select("seq", "captured_ms", F.posexplode("r.resourceMetrics").alias("i", "rm")).select("seq", "captured_ms", "i", F.col("rm.resource.attributes").alias("resource"), F.posexplode("rm.scopeMetrics").alias("j", "sm"))
-    metrics = metrics.select("seq", "captured_ms", "i", "j", "resource", F.posexplode("sm.metrics").alias("k", "m"))
+    metrics = parsed.select("seq", *keep, "captured_ms", F.posexplode("r.resourceMetrics").alias("i", "rm")).select("seq", *keep, "captured_ms", "i", F.col("rm.resource.attributes").alias("resource"), F.posexplode("rm.scopeMetrics").alias("j", "sm"))
+    metrics = metrics.select("seq", *keep, "captured_ms", "i", "j", "resource", F.posexplode("sm.metrics").alias("k", "m"))
     kinds = {"gauge": FLOAT, "sum": FLOAT, "histogram": HISTOGRAM, "exponentialHistogram": EXPONENTIAL, "summary": SUMMARY_KIND}
     data, kind = F.coalesce(*(F.col(f"m.{k}") for k in kinds)), F.coalesce(*(F.when(F.col(f"m.{k}").isNotNull(), F.lit(v)) for k, v in kinds.items()))
-    rows = metrics.select("seq", "captured_ms", "i", "j", "k", "resource", F.col("m.name").alias("name"), kind.alias("kind"), data["aggregationTemporality"].alias("t"), F.posexplode(data["dataPoints"]).alias("l", "p"))
+    rows = metrics.select("seq", *keep, "captured_ms", "i", "j", "k", "resource", F.col("m.name").alias("name"), kind.alias("kind"), data["aggregationTemporality"].alias("t"), F.posexplode(data["dataPoints"]).alias("l", "p"))
     temporality = F.when(F.col("t").isin("1", "AGGREGATION_TEMPORALITY_DELTA"), DELTA).when(F.col("t").isin("2", "AGGREGATION_TEMPORALITY_CUMULATIVE"), CUMULATIVE).otherwise(UNSPECIFIED)
     order = F.col("seq") * (1 << 20) + F.col("i") * (1 << 14) + F.col("j") * (1 << 12) + F.col("k") * (1 << 6) + F.col("l")
-    return rows.select("seq", order.alias("write_seq"), "captured_ms", "resource", "name", "kind", temporality.alias("temporality"), "p", F.col("p.timeUnixNano").cast("bigint").alias("time_ns"))
+    return rows.select("seq", *keep, order.alias("write_seq"), "captured_ms", "resource", "name", "kind", temporality.alias("temporality"), "p", F.col("p.timeUnixNano").cast("bigint").alias("time_ns"))
 
 
 def _canonical(rows: DataFrame) -> DataFrame:
@@ -128,6 +133,12 @@ def valid() -> Column:
     return stale | F.coalesce(shape, F.lit(False))
 
 
+def watermarks(messages: DataFrame) -> DataFrame:
+    """(partition, min_ms, max_ms, n): how far the event times of each partition's datapoints reach."""
+    times = datapoints(messages, keep=("partition",)).filter("time_ns > 0").select("partition", to_ms(F.col("time_ns")).alias("t"))
+    return times.groupBy("partition").agg(F.min("t").alias("min_ms"), F.max("t").alias("max_ms"), F.count("*").alias("n"))
+
+
 def refused(points: DataFrame) -> DataFrame:
     """(kind, n) of datapoints that `samples` leaves out."""
     return points.filter(~valid()).groupBy("kind").agg(F.count("*").alias("n"))

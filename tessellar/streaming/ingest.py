@@ -93,22 +93,36 @@ class Ingest:
         # of one batch, the out-of-order lane is written after the in-order one
         seq = F.lit(batch << 40) + F.when(F.col("lane") == OUT_OF_ORDER, F.lit(1 << 39)).otherwise(F.lit(0)) + F.pmod(F.col("write_seq"), F.lit(1 << 39))
         out = kept.withColumn("write_seq", seq).withColumn("window_start", window_start("ts_ms", self.window_ms)).withColumn("batch", F.lit(batch)).drop("lane")
-        out = out.repartition("metric").sortWithinPartitions("metric", "labels", "ts_ms")
+        out = out.repartitionByRange("metric", F.xxhash64("labels")).sortWithinPartitions("metric", "labels", "ts_ms")  # a large metric is many tasks' work
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start", "batch").parquet(self.path)
         self._write_state(state, kept, batch)  # after the samples: a batch that fails between them is taken again from the same state
+        self._note("commits", batch=batch)
 
-    def start(self, messages: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
-        return messages.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+    def _note(self, log: str, **fields: int) -> None:
+        """Append a line to a log beside the table: batches committed, or windows tombstoned."""
+        self.spark.range(1).select(*(F.lit(v).cast("bigint").alias(k) for k, v in fields.items())).coalesce(1).write.mode("append").json(f"{self.path}_{log}")
 
-    def read(self) -> DataFrame:
-        """What is committed now; a query reads the table as it was when it began."""
+    def _noted(self, log: str, field: str) -> int | None:
+        """The largest value in a log; a row a batch at most, reduced to one number."""
         try:
-            return self.spark.read.schema(f"{SAMPLES}, window_start bigint, batch bigint").parquet(self.path)
+            return self.spark.read.schema(f"{field} bigint").json(f"{self.path}_{log}").agg(F.max(field)).first()[0]
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                raise NotReady("nothing is written yet") from e
+                return None
             raise
 
+    def start(self, messages: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
+        return messages.writeStream.foreachBatch(self.take).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+    def read(self) -> DataFrame:
+        """What is committed now, without tombstoned windows: a batch that is being written is not read before it is whole, its number pruned as a partition."""
+        committed = self._noted("commits", "batch")
+        if committed is None:
+            raise NotReady("nothing is written yet")
+        rows = self.spark.read.schema(f"{SAMPLES}, window_start bigint, batch bigint").parquet(self.path).filter(F.col("batch") <= committed)
+        gone = self._noted("tombstones", "retain_after_ms")
+        return rows if gone is None else rows.filter(F.col("window_start") + self.window_ms > gone)
+
     def store(self, typed: bool = True) -> Store:
         """For queries: partitions of windows outside a query's time are pruned by the scan's bounds on ts_ms and window_start."""
         return WindowedStore(self.read(), typed=typed, window_ms=self.window_ms)
@@ -117,11 +131,12 @@ class Ingest:
         """Seal windows that end by before_ms into one file set each, last write wins, sorted by metric, series and time."""
         rows = self.read().filter(F.col("window_start") + self.window_ms <= before_ms)
         rows = Store(rows).last_written(rows).drop("batch")
-        rows.repartition("window_start", "metric").sortWithinPartitions("metric", "labels", "ts_ms").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(target)
+        rows.repartitionByRange("window_start", "metric", F.xxhash64("labels")).sortWithinPartitions("metric", "labels", "ts_ms").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start").parquet(target)
 
     def retain(self, after_ms: int) -> DataFrame:
-        """The table without windows that end by after_ms: those are tombstoned, not read."""
-        return self.read().filter(F.col("window_start") + self.window_ms > after_ms)
+        """The table without windows that end by after_ms: those are tombstoned for good, and not read by any query from here on."""
+        self._note("tombstones", retain_after_ms=after_ms)
+        return self.read()
 
 
 @dataclass

@@ -100,6 +100,45 @@ def test_histogram_functions():
     assert H.equal(CUSTOM[1], H.times(CUSTOM[0], 2.0)) and not H.equal(CUSTOM[0], CUSTOM[1])
 
 
+def test_columns_agree(spark):
+    """Quantiles, fractions, scaling and equality as Columns against the same on dictionaries, on random histograms."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessellar.functions import hist_columns as C
+    from tessellar.model import HIST
+
+    rng = random.Random(4)
+    made = [CUSTOM[0], H.custom(0.0, 0.0, [1.0], [0.0, 0.0]), H.custom(4.0, None, [], [4.0])]
+    for _ in range(30):
+        if rng.random() < 0.5:
+            bounds = sorted(rng.sample([-5.0, -1.0, 0.0, 0.5, 1.0, 2.5, 10.0], rng.randrange(1, 6)))
+            counts = [float(rng.randrange(0, 5)) for _ in range(len(bounds) + 1)]
+            made.append(H.custom(sum(counts), rng.choice([None, 3.0]), bounds, counts))
+        else:
+            side = lambda: {i: float(rng.randrange(0, 4)) for i in rng.sample(range(-4, 6), rng.randrange(0, 5))}
+            pos, neg, zeros = side(), side(), float(rng.randrange(0, 3))
+            made.append(H.exponential(sum(pos.values()) + sum(neg.values()) + zeros, 1.5, rng.randrange(-1, 3), rng.choice([0.0, 0.1]), zeros, pos, neg))
+    frame = spark.createDataFrame(list(enumerate(made)), f"i int, h {HIST}")
+    h, qs, ranges = F.col("h"), (-1.0, 0.0, 0.3, 0.5, 0.95, 1.0, 2.0), ((0.0, 1.0), (-2.0, 0.7), (1.0, math.inf), (-math.inf, 2.0), (3.0, 1.0), (-math.inf, math.inf))
+    columns = [C.quantile(h, q).alias(f"q{k}") for k, q in enumerate(qs)] + [C.fraction(h, *x).alias(f"f{k}") for k, x in enumerate(ranges)]
+    rows = frame.select("i", *columns, C.mapped(h, lambda c: c * 2.0).alias("twice"), C.mapped(h, lambda c: C.ieee.div(c, F.lit(4.0))).alias("quarter"), C.equal(h, C.mapped(h, lambda c: c * 2.0)).alias("same"), C.equal(h, h).alias("self")).collect()
+    close = lambda a, b: math.isnan(a) and math.isnan(b) or a == pytest.approx(b, rel=1e-9, abs=1e-12)
+    for r in rows:
+        one = made[r["i"]]
+        assert all(close(r[f"q{k}"], H.quantile(one, q)) for k, q in enumerate(qs)), (one, r)
+        assert all(close(r[f"f{k}"], H.fraction(one, *x)) for k, x in enumerate(ranges)), (one, r)
+        assert r["twice"].asDict(True) == H.times(one, 2.0) and r["quarter"].asDict(True) == H.over(one, 4.0)
+        assert r["same"] == H.equal(one, H.times(one, 2.0)) and r["self"]
+
+
+def test_no_python_for_one_histogram(spark, held):
+    for query in ("histogram_quantile(0.9, lat)", "histogram_fraction(0, 1, exp)", "lat * 2", "lat == bool on (job) lat", "count_over_time(lat[1m])", "last_over_time(lat[1m])"):
+        plan = engine.instant(spark, held, query, 40_000)._jdf.queryExecution().executedPlan().toString()
+        assert "Arrow" not in plan and "Python" not in plan, query
+
+
 def test_hints(spark):
     """A stored hint decides over values: a reset without decrease counts, a decrease that is none voids."""
     rows = typed("h", CUSTOM, hints={3: 1}) + typed("k", [CUSTOM[1], CUSTOM[0], CUSTOM[2], CUSTOM[3], CUSTOM[4]], hints={1: 2})
