@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_ingest
+from .functions.names import label_name
 from .model import flat
 from .operators.grid import Grid
 from .plans import engine
@@ -16,8 +18,8 @@ from .sources.tables import DAY, ORDERS_AT
 
 HOUR = 3_600_000
 DAILY = Grid(1_704_153_600_000, 1_706_659_200_000, DAY)
-HOURLY = Grid(1_704_153_600_000, 1_704_758_400_000, HOUR)
-DENSE = Grid(1_704_153_600_000, 1_704_412_800_000, 900_000)
+HOURLY = Grid(1_704_153_600_000, 1_706_659_200_000, HOUR)
+DENSE = Grid(1_704_153_600_000, 1_706_659_200_000, 900_000)
 ORDERS = Grid(ORDERS_AT, ORDERS_AT)
 
 EV = "ev AS (SELECT event_type, CAST(user_id AS VARCHAR) AS user_id, epoch_us(ts) // 1000 AS t, value AS v, event_id FROM events)"
@@ -99,17 +101,21 @@ _add("r19_quantile_over_time", "quantile_over_time(0.75, event_value[1d])", f"{_
 _XY = "(t - eval_ms) / 1000.0"
 _REG = f"{_R}, r AS (SELECT eval_ms, event_type, user_id, regr_slope(v, {_XY}) AS slope, regr_intercept(v, {_XY}) AS intercept FROM w {_BY} HAVING count(*) >= 2)"
 _add("r20_deriv", "deriv(event_value[1d])", f"{_REG} SELECT eval_ms, event_type, user_id, {_value('slope', 6)} FROM r", digits=6)
-_add("r21_predict_linear", "predict_linear(event_value[1d], 3600)", f"{_REG} SELECT eval_ms, event_type, user_id, {_value('intercept + 3600 * slope', 1)} FROM r", digits=1)
-_add("r22_double_exponential_smoothing", "double_exponential_smoothing(event_value[1d], 0.5, 0.3)", None)
+_add("r21_predict_linear", "predict_linear(event_value[1d], 3600)", f"{_REG} SELECT eval_ms, event_type, user_id, {_value('intercept + 3600 * slope', 5)} FROM r", digits=5)
+_SMOOTH = f"""WITH RECURSIVE {EV}, {window_sql(DAILY, DAY)}, o AS (SELECT eval_ms, event_type, user_id, v, row_number() OVER (PARTITION BY eval_ms, event_type, user_id ORDER BY t) AS k FROM w),
+r AS (SELECT a.eval_ms, a.event_type, a.user_id, CAST(2 AS BIGINT) AS k, b.v AS s, b.v - a.v AS d FROM o a JOIN o b USING (eval_ms, event_type, user_id) WHERE a.k = 1 AND b.k = 2
+UNION ALL SELECT eval_ms, event_type, user_id, k, x, 0.3 * (x - s) + 0.7 * d FROM (SELECT r.eval_ms, r.event_type, r.user_id, o.k, r.s, r.d, 0.5 * o.v + 0.5 * (r.s + r.d) AS x FROM r JOIN o ON o.eval_ms = r.eval_ms AND o.event_type = r.event_type AND o.user_id = r.user_id AND o.k = r.k + 1))
+SELECT eval_ms, event_type, user_id, {_value("max_by(s, k)", 6)} FROM r GROUP BY eval_ms, event_type, user_id"""
+_add("r22_double_exponential_smoothing", "double_exponential_smoothing(event_value[1d], 0.5, 0.3)", _SMOOTH, digits=6)
 _SPARSE = f"WITH {EV}, {window_sql(DENSE, HOUR)}"
 _add("r23_absent_over_time", 'absent_over_time(event_value{event_type="click"}[1h])', f"{_SPARSE} SELECT eval_ms, 'click' AS event_type, 1.0 AS value FROM g WHERE eval_ms NOT IN (SELECT eval_ms FROM w WHERE event_type = 'click')", ("event_type",), DENSE)
 _COUNTER = "c AS (SELECT event_type, user_id, t, CAST(row_number() OVER (PARTITION BY event_type, user_id ORDER BY t, event_id) AS DOUBLE) AS v FROM ev)"
 _RESETS = "c AS (SELECT event_type, t, CAST(row_number() OVER (PARTITION BY event_type ORDER BY t, event_id) % 7 AS DOUBLE) AS v FROM ev)"
 
 
-def _counter_sql(source: str, keys: str, per_second: bool, digits: int) -> str:
+def _counter_sql(source: str, keys: str, per_second: bool, digits: int, grid: Grid = DAILY) -> str:
     rate = f" / {DAY / 1000.0}" if per_second else ""
-    return f"""WITH {EV}, {source}, {window_sql(DAILY, DAY, "c")},
+    return f"""WITH {EV}, {source}, {window_sql(grid, DAY, "c")},
 d AS (SELECT *, lag(v) OVER (PARTITION BY eval_ms, {keys} ORDER BY t) AS p FROM w),
 a AS (SELECT eval_ms, {keys}, count(*) AS n, min(t) AS t0, max(t) AS t1, min_by(v, t) AS v0, max_by(v, t) - min_by(v, t) + coalesce(sum(CASE WHEN v < p THEN p END), 0) AS raw FROM d GROUP BY ALL HAVING count(*) >= 2 AND max(t) > min(t)),
 f AS (SELECT *, (t1 - t0) / 1000.0 AS span, (t1 - t0) / 1000.0 / (n - 1) AS gap, (t0 - eval_ms + {DAY}) / 1000.0 AS s, (eval_ms - t1) / 1000.0 AS e FROM a),
@@ -132,11 +138,22 @@ _add("r08_changes", "changes(event_reset_total[1d])", f"{_PAIRS} SELECT eval_ms,
 _add("r09_resets", "resets(event_reset_total[1d])", f"{_PAIRS} SELECT eval_ms, event_type, CAST(count(CASE WHEN v < p THEN 1 END) AS DOUBLE) AS value FROM d GROUP BY ALL", ("event_type",), store=tables.event_count)
 _DELTA = f"""{_R}, a AS (SELECT eval_ms, event_type, user_id, count(*) AS n, min(t) AS t0, max(t) AS t1, max_by(v, t) - min_by(v, t) AS raw FROM w {_BY} HAVING count(*) >= 2 AND max(t) > min(t)),
 f AS (SELECT *, (t1 - t0) / 1000.0 AS span, (t1 - t0) / 1000.0 / (n - 1) AS gap, (t0 - eval_ms + {DAY}) / 1000.0 AS s, (eval_ms - t1) / 1000.0 AS e FROM a)
-SELECT eval_ms, event_type, user_id, {_value("raw * ((span + CASE WHEN s >= gap * 1.1 THEN gap / 2 ELSE s END + CASE WHEN e >= gap * 1.1 THEN gap / 2 ELSE e END) / span)", 3)} FROM f"""
-_add("r05_delta", "delta(event_value[1d])", _DELTA, digits=3)
+SELECT eval_ms, event_type, user_id, {_value("raw * ((span + CASE WHEN s >= gap * 1.1 THEN gap / 2 ELSE s END + CASE WHEN e >= gap * 1.1 THEN gap / 2 ELSE e END) / span)", 6)} FROM f"""
+_add("r05_delta", "delta(event_value[1d])", _DELTA, digits=6)
 _OVER = f"WITH {EV}, {window_sql(HOURLY, DAY)}"
 _add("t07_sliding_sum", "sum_over_time(event_value[1d])", f"{_OVER} SELECT eval_ms, event_type, user_id, {_value('sum(v)')} FROM w {_BY}", grid=HOURLY)
-_add("t07_sliding_rate", "sum by (event_type) (increase(event_count_total[1d]))", None, ("event_type",), HOURLY, store=tables.event_count)
+_add("t07_sliding_rate", "sum by (event_type) (increase(event_count_total[1d]))", f"SELECT eval_ms, event_type, {_value('sum(value)', 5)} FROM ({_counter_sql(_COUNTER, _KEYS, False, 15, HOURLY)}) GROUP BY ALL", ("event_type",), HOURLY, 5, tables.event_count)
+for _name, _sql, _digits in (("stddev_over_time", "stddev_pop(v)", 6), ("min_over_time", "min(v)", 7), ("avg_over_time", "avg(v)", 7)):
+    _add(f"t07_sliding_{_name}", f"{_name}(event_value[1d])", f"{_OVER} SELECT eval_ms, event_type, user_id, {_value(_sql, _digits)} FROM w {_BY}", grid=HOURLY, digits=_digits)
+_OVER_REG = f"{_OVER}, r AS (SELECT eval_ms, event_type, user_id, regr_slope(v, {_XY}) AS slope, regr_intercept(v, {_XY}) AS intercept FROM w {_BY} HAVING count(*) >= 2)"
+_add("t07_sliding_predict_linear", "predict_linear(event_value[1d], 3600)", f"{_OVER_REG} SELECT eval_ms, event_type, user_id, {_value('intercept + 3600 * slope', 3)} FROM r", grid=HOURLY, digits=3)
+_add("t07_sliding_delta", "delta(event_value[1d])", _DELTA.replace(window_sql(DAILY, DAY), window_sql(HOURLY, DAY)), grid=HOURLY, digits=6)
+_OVER_RESETS = _PAIRS.replace(window_sql(DAILY, DAY, "c"), window_sql(HOURLY, DAY, "c"))
+_add("t07_sliding_resets", "resets(event_reset_total[1d])", f"{_OVER_RESETS} SELECT eval_ms, event_type, CAST(count(CASE WHEN v < p THEN 1 END) AS DOUBLE) AS value FROM d GROUP BY ALL", ("event_type",), HOURLY, store=tables.event_count)
+_add("t07_sliding_idelta", "idelta(event_reset_total[1d])", f"{_TWO.replace(window_sql(DAILY, DAY, 'c'), window_sql(HOURLY, DAY, 'c'))} SELECT eval_ms, event_type, {_value('v1 - v0')} FROM z", ("event_type",), HOURLY, store=tables.event_count)
+_add("p11_range_window", "count_over_time(event_value[1h])", f"{_SPARSE} SELECT eval_ms, event_type, user_id, CAST(count(*) AS DOUBLE) AS value FROM w {_BY}", grid=DENSE)
+_TYPE = label_name("event.type")
+_add("p07_dotted_names", 'event.value{event.type="click"}', f"{_INSTANT} SELECT eval_ms, event_type AS {_TYPE}, user_id, {_value('v')} FROM b WHERE event_type = 'click'", (_TYPE, "user_id"), HOURLY, store=tables.event_dotted)
 
 # instant functions
 for _name, _arg, _sql in (
@@ -177,7 +194,7 @@ _add("q1_flagship", "sum by (event_type) (rate(event_count_total[1d]))", f"SELEC
 
 # operators
 for _name, _op, _sql in (("add", "+", "v + 7"), ("subtract", "-", "v - 7"), ("multiply", "*", "v * 7"), ("divide", "/", "v / 7"), ("modulo", "%", "v % 7"), ("power", "^", "pow(v, 2)")):
-    _add(f"b02_vector_{_name}_scalar", f"{LAST} {_op} {2 if _op == '^' else 7}", f"{LAST_SQL} SELECT eval_ms, event_type, user_id, {_value(_sql, 3)} FROM b", digits=3)
+    _add(f"b02_vector_{_name}_scalar", f"{LAST} {_op} {2 if _op == '^' else 7}", f"{LAST_SQL} SELECT eval_ms, event_type, user_id, {_value(_sql, 6)} FROM b", digits=6)
 _add("b01_scalar_scalar", "time() / 86400 + 2 ^ 3 > bool 5", f"WITH {grid_sql(DAILY)} SELECT eval_ms, 1.0 AS value FROM g", ())
 _add("b02_scalar_minus_vector", f"1000 - {LAST}", f"{LAST_SQL} SELECT eval_ms, event_type, user_id, {_value('1000 - v')} FROM b")
 for _name, _op, _sql in (("equal", "==", "="), ("not_equal", "!=", "<>"), ("greater", ">", ">"), ("less", "<", "<"), ("at_least", ">=", ">="), ("at_most", "<=", "<=")):
@@ -208,20 +225,44 @@ _add("h06_histogram_sum", "histogram_sum(event_daily)", f"{_ON_DAY} SELECT eval_
 _add("h06_histogram_avg", "histogram_avg(event_exp_daily)", f"{_ON_DAY} SELECT eval_ms, event_type, {_value('avg(v)')} FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
 _NATIVE = f"{_ON_DAY}, h AS (SELECT eval_ms, event_type, le, CAST(count(CASE WHEN v <= le THEN 1 END) AS DOUBLE) AS v FROM x, (SELECT unnest([10.0, 50.0, 100.0, 250.0, 'inf'::DOUBLE]) AS le) GROUP BY ALL), {_QUANTILE}"
 _add("h02_native_quantile", "histogram_quantile(0.9, event_daily)", f"{_NATIVE} SELECT eval_ms, event_type, {_value('x')} FROM z", ("event_type",), store=tables.event_daily)
-_add("h03_exponential_quantile", "histogram_quantile(0.9, event_exp_daily)", None, ("event_type",), store=tables.event_daily)
+_EXP = f"""{_ON_DAY}, i AS (SELECT eval_ms, event_type, CAST(ceil(log2(v)) AS INTEGER) - 1 AS idx, CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY ALL),
+q AS (SELECT *, sum(c) OVER (PARTITION BY eval_ms, event_type ORDER BY idx) AS seen, 0.9 * sum(c) OVER (PARTITION BY eval_ms, event_type) AS r FROM i),
+z AS (SELECT eval_ms, event_type, min_by(pow(2.0, idx) * pow(2.0, (r - (seen - c)) / c), idx) AS x FROM q WHERE seen >= r GROUP BY ALL)"""
+_T = {"labels": ("event_type",)}
+_LATER = f"eval_ms > {DAILY.start}"
+_add("h03_exponential_quantile", "histogram_quantile(0.9, event_exp_daily)", f"{_EXP} SELECT eval_ms, event_type, {_value('x', 6)} FROM z", ("event_type",), digits=6, store=tables.event_daily)
+_add("h04_mixed_quantile", 'histogram_quantile(0.9, {__name__=~"event_daily|event_classic_bucket"})', f"{_NATIVE} SELECT eval_ms, event_type, source, {_value('x')} FROM z, (SELECT unnest(['', 'classic']) AS source)", ("event_type", "source"), store=tables.totals_of("event_daily", "event_classic_bucket"))
+_CUM = f"{_ON_DAY}, y AS (SELECT event_type, t, CAST(count(*) AS DOUBLE) AS n, sum(v) AS s FROM d GROUP BY ALL), c AS (SELECT event_type, t AS eval_ms, n AS raw, s AS raw_s, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(n) OVER o - n AS first FROM y WINDOW o AS (PARTITION BY event_type ORDER BY t)), k AS (SELECT *, 1 + least(1.0, first / raw) AS f, 1 + least(1.0, first / n) AS fh FROM c WHERE first > 0 AND eval_ms <= {DAILY.end})"
+_add("h07_cumulative_count", "histogram_count(increase(event_total[2d]))", f"{_CUM} SELECT eval_ms, event_type, {_value('raw * f', 6)} FROM k", digits=6, store=tables.totals_of("event_total"), **_T)
+_add("h07_cumulative_sum", "histogram_sum(increase(event_total[2d]))", f"{_CUM} SELECT eval_ms, event_type, {_value('raw_s * f', 5)} FROM k", digits=5, store=tables.totals_of("event_total"), **_T)
+_add("h07_cumulative_buckets", "histogram_quantile(0.9, rate(event_total[2d]))", f"{_NATIVE} SELECT eval_ms, event_type, {_value('x', 6)} FROM z WHERE {_LATER}", digits=6, store=tables.totals_of("event_total"), **_T)
+_add("h09_exponential_count", "histogram_count(increase(event_exp_total[2d]))", f"{_CUM} SELECT eval_ms, event_type, {_value('raw * f', 6)} FROM k", digits=6, store=tables.totals_of("event_exp_total"), **_T)
+_add("h09_exponential_buckets", "histogram_quantile(0.9, rate(event_exp_total[2d]))", f"{_EXP} SELECT eval_ms, event_type, {_value('x', 6)} FROM z WHERE {_LATER}", digits=6, store=tables.totals_of("event_exp_total"), **_T)
+_add("h11_component_hints", "histogram_count(increase(event_hinted[2d]))", f"{_CUM} SELECT eval_ms, event_type, {_value('n * fh', 6)} FROM k", digits=6, store=tables.totals_of("event_hinted"), **_T)
+_add("h12_downscaled_sum", 'histogram_quantile(0.9, sum by (event_type) ({__name__=~"event_exp_daily|event_fine_daily"}))', f"{_EXP} SELECT eval_ms, event_type, {_value('x', 6)} FROM z", digits=6, store=tables.totals_of("event_exp_daily", "event_fine_daily"), **_T)
 _add("h05_fraction", "histogram_fraction(50, 250, event_daily)", f"{_ON_DAY} SELECT eval_ms, event_type, {_value('count(CASE WHEN v > 50 AND v <= 250 THEN 1 END) / count(*)')} FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
 _add("h07_native_increase", "histogram_count(increase(event_daily[1d]))", f"{_ON_DAY} SELECT eval_ms, event_type, CAST(count(*) AS DOUBLE) AS value FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
 _add("h08_native_rate", "histogram_sum(rate(event_daily[1d]))", f"{_ON_DAY} SELECT eval_ms, event_type, {_value('sum(v) / 86400', 6)} FROM x GROUP BY ALL", ("event_type",), digits=6, store=tables.event_daily)
-_add("h10_native_changes", "changes(event_daily[3d])", None, ("event_type",), store=tables.event_daily)
-_add("h10_native_resets", "resets(event_exp_daily[3d])", None, ("event_type",), store=tables.event_daily)
+_PARTS = "{'n': count(*), 's': sum(v), 'a': count(CASE WHEN v <= 10 THEN 1 END), 'b': count(CASE WHEN v <= 50 THEN 1 END), 'c': count(CASE WHEN v <= 100 THEN 1 END), 'd': count(CASE WHEN v <= 250 THEN 1 END)}"
+_DAILY_PARTS = f"WITH {EV}, {_DAYS}, y AS (SELECT event_type, t, {_PARTS} AS h FROM d GROUP BY ALL), {window_sql(DAILY, 3 * DAY, 'y')}"
+_add("h10_native_changes", "changes(event_daily[3d])", f"{_DAILY_PARTS}, p AS (SELECT *, lag(h) OVER (PARTITION BY eval_ms, event_type ORDER BY t) AS before FROM w) SELECT eval_ms, event_type, CAST(count(CASE WHEN before IS NOT NULL AND before <> h THEN 1 END) AS DOUBLE) AS value FROM p GROUP BY ALL", ("event_type",), store=tables.event_daily)
+_FALLS = f"""WITH {EV}, {_DAYS}, i AS (SELECT event_type, t, CAST(ceil(log2(v)) AS INTEGER) - 1 AS idx, count(*) AS c FROM d GROUP BY ALL), y AS (SELECT event_type, t, lag(t) OVER (PARTITION BY event_type ORDER BY t) AS p FROM (SELECT DISTINCT event_type, t FROM i)),
+f AS (SELECT y.event_type, y.t, bool_or(coalesce(b.c, 0) < a.c) AS falls FROM y JOIN i a ON a.event_type = y.event_type AND a.t = y.p LEFT JOIN i b ON b.event_type = y.event_type AND b.t = y.t AND b.idx = a.idx GROUP BY ALL), {window_sql(DAILY, 3 * DAY, 'y')}"""
+_add("h10_native_resets", "resets(event_exp_daily[3d])", f"{_FALLS} SELECT eval_ms, w.event_type, CAST(count(CASE WHEN falls AND p > eval_ms - {3 * DAY} THEN 1 END) AS DOUBLE) AS value FROM w LEFT JOIN f ON f.event_type = w.event_type AND f.t = w.t GROUP BY ALL", ("event_type",), store=tables.event_daily)
+_ALL_TYPES = f"{_ON_DAY}, h AS (SELECT eval_ms, '' AS event_type, le, CAST(count(CASE WHEN v <= le THEN 1 END) AS DOUBLE) AS v FROM x, (SELECT unnest([10.0, 50.0, 100.0, 250.0, 'inf'::DOUBLE]) AS le) GROUP BY ALL), {_QUANTILE}"
+_add("a12_native_sum_buckets", "histogram_quantile(0.9, sum(event_daily))", f"{_ALL_TYPES} SELECT eval_ms, {_value('x')} FROM z", (), store=tables.event_daily)
+_add("a13_exponential_sum_buckets", "histogram_quantile(0.9, avg(event_exp_daily))", f"{_EXP.replace('SELECT eval_ms, event_type, CAST(ceil', """SELECT eval_ms, '' AS event_type, CAST(ceil""")} SELECT eval_ms, {_value('x', 6)} FROM z", (), digits=6, store=tables.event_daily)
 _add("a12_native_sum", "histogram_count(sum(event_daily))", f"{_ON_DAY} SELECT eval_ms, CAST(count(*) AS DOUBLE) AS value FROM x GROUP BY ALL", (), store=tables.event_daily)
 _add("a13_exponential_avg", "histogram_sum(avg(event_exp_daily))", f"{_ON_DAY} SELECT eval_ms, {_value('sum(v) / count(DISTINCT event_type)')} FROM x GROUP BY ALL", (), store=tables.event_daily)
 _add("a14_native_count", "count(event_daily)", f"{_ON_DAY} SELECT eval_ms, CAST(count(DISTINCT event_type) AS DOUBLE) AS value FROM x GROUP BY ALL", (), store=tables.event_daily)
 _add("b15_native_times_scalar", "histogram_sum(event_daily * 2 / 4)", f"{_ON_DAY} SELECT eval_ms, event_type, {_value('sum(v) / 2')} FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
-_add("b16_native_minus_native", "histogram_count(event_daily + event_daily)", f"{_ON_DAY} SELECT eval_ms, event_type, CAST(2 * count(*) AS DOUBLE) AS value FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
+_add("b16_native_minus_native", "histogram_quantile(0.9, event_total - event_total offset 1d)", f"{_NATIVE} SELECT eval_ms, event_type, {_value('x', 6)} FROM z WHERE {_LATER}", digits=6, store=tables.totals_of("event_total"), **_T)
+_add("b17_native_equal_bool", "event_total == bool on (event_type) event_daily", f"{_CUM} SELECT eval_ms, event_type, CASE WHEN first = 0 THEN 1.0 ELSE 0.0 END AS value FROM c WHERE eval_ms <= {DAILY.end}", store=tables.totals_of("event_total", "event_daily"), **_T)
+_add("b16_native_plus_native", "histogram_count(event_daily + event_daily)", f"{_ON_DAY} SELECT eval_ms, event_type, CAST(2 * count(*) AS DOUBLE) AS value FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
 _add("b17_native_equal", "histogram_count(event_daily == event_daily)", f"{_ON_DAY} SELECT eval_ms, event_type, CAST(count(*) AS DOUBLE) AS value FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
 _add("b18_mixed_kinds", "event_daily == bool on (event_type) event_exp_daily", f"{_ON_DAY} SELECT eval_ms, event_type, 0.0 AS value FROM x GROUP BY ALL", ("event_type",), store=tables.event_daily)
-_add("b19_native_unless", "histogram_count(event_daily unless on (event_type) event_exp_daily)", f"{_ON_DAY} SELECT eval_ms, event_type, 0.0 AS value FROM x WHERE false", ("event_type",), store=tables.event_daily)
+_add("b19_native_unless", 'histogram_count(event_daily unless on (event_type) event_total{event_type="click"})', f"{_ON_DAY} SELECT eval_ms, event_type, CAST(count(*) AS DOUBLE) AS value FROM x WHERE event_type <> 'click' GROUP BY ALL", store=tables.totals_of("event_total", "event_daily"), **_T)
+_add("b19_native_and", 'histogram_count(event_daily and on (event_type) event_exp_daily{event_type="view"})', f"{_ON_DAY} SELECT eval_ms, event_type, CAST(count(*) AS DOUBLE) AS value FROM x WHERE event_type = 'view' GROUP BY ALL", store=tables.totals_of("event_exp_daily", "event_daily"), **_T)
 
 # projections of typed metrics
 _RUN = f"WITH {EV}, {_DAYS}, y AS (SELECT event_type, t, count(*) AS n, sum(v) AS s, count(CASE WHEN v <= 50 THEN 1 END) AS le50, count(CASE WHEN v <= 64 THEN 1 END) AS le64, quantile_cont(v, 0.9) AS q FROM d GROUP BY ALL), {grid_sql(DAILY)}, x AS (SELECT g.eval_ms, y.* FROM g JOIN y ON y.t = g.eval_ms), c AS (SELECT event_type, t AS eval_ms, sum(n) OVER o AS n, sum(s) OVER o AS s, sum(le50) OVER o AS le50, sum(le64) OVER o AS le64 FROM y WHERE t > {DAILY.start} - 0 WINDOW o AS (PARTITION BY event_type ORDER BY t))"
@@ -230,7 +271,13 @@ _add("v02_sum_rate", "increase(event_daily_sum[1d])", f"{_RUN} SELECT eval_ms, e
 _add("v03_bucket", 'increase(event_daily_bucket{le="50"}[1d])', f"{_RUN} SELECT eval_ms, event_type, '50' AS le, CAST(le50 AS DOUBLE) AS value FROM x", ("event_type", "le"), store=tables.event_daily)
 _add("v04_exponential_bucket", 'increase(event_exp_daily_bucket{le="64"}[1d])', f"{_RUN} SELECT eval_ms, event_type, '64' AS le, CAST(le64 AS DOUBLE) AS value FROM x", ("event_type", "le"), store=tables.event_daily)
 _add("v05_summary_quantile", 'event_summary_daily{quantile="0.9"}', f"{_RUN} SELECT eval_ms, event_type, '0.9' AS quantile, {_value('q')} FROM x", ("event_type", "quantile"), store=tables.event_daily)
-_add("v09_delta_fragments", "last_over_time(event_daily_count[3d])", None, ("event_type",), store=tables.event_daily)
+# running totals of consecutive days
+_TOTAL = f"{_RUN.split(', x AS (')[0]}, f AS (SELECT event_type, t, n, s, q, t - {DAY} * row_number() OVER (PARTITION BY event_type ORDER BY t) AS run FROM y WHERE t >= {DAILY.start}), u AS (SELECT event_type, t, CAST(sum(n) OVER o AS DOUBLE) AS n, sum(s) OVER o AS s, q FROM f WINDOW o AS (PARTITION BY event_type, run ORDER BY t))"
+_add("v09_delta_fragments", "last_over_time(event_daily_count[3d])", f"{_TOTAL} SELECT eval_ms, event_type, max_by(n, t) AS value FROM g JOIN u ON t > eval_ms - {3 * DAY} AND t <= eval_ms GROUP BY ALL", ("event_type",), store=tables.event_daily)
+_HALF = Grid(DAILY.start + 30_000, DAILY.end + 30_000, DAY)
+_add("v10_seed_read", "last_over_time(event_daily_count[1m])", f"{_TOTAL.replace(grid_sql(DAILY), grid_sql(_HALF))} SELECT eval_ms, event_type, n AS value FROM g JOIN u ON t = eval_ms - 30000", ("event_type",), _HALF, store=tables.event_daily)
+_add("v06_all_projections", "event_summary_daily", f"{_TOTAL}, e AS (SELECT * FROM g JOIN u ON t = eval_ms), m AS (SELECT g.eval_ms, d.event_type, quantile_cont(v, 0.5) AS q FROM g JOIN d ON d.t = g.eval_ms GROUP BY ALL) SELECT eval_ms, 'event_summary_daily' AS name, event_type, '0.9' AS quantile, {_value('q', 6)} FROM e UNION ALL SELECT eval_ms, 'event_summary_daily', event_type, '0.5', round(q, 6) + 0.0 FROM m UNION ALL SELECT eval_ms, 'event_summary_daily_count', event_type, '', n FROM e UNION ALL SELECT eval_ms, 'event_summary_daily_sum', event_type, '', round(s, 6) + 0.0 FROM e", ("__name__", "event_type", "quantile"), digits=6, store=tables.event_daily)
+_add("v07_name_pattern", 'last_over_time({__name__=~"event_daily_(count|sum)"}[1d])', f"{_TOTAL}, e AS (SELECT * FROM g JOIN u ON t = eval_ms) SELECT eval_ms, 'event_daily_count' AS name, event_type, n AS value FROM e UNION ALL SELECT eval_ms, 'event_daily_sum', event_type, round(s, 6) + 0.0 FROM e", ("__name__", "event_type"), digits=6, store=tables.event_daily)
 _add("r03_rate_of_deltas", "rate(event_daily_count[2d])", f"{_RUN}, z AS (SELECT a.eval_ms, a.event_type, sum(b.n) AS n FROM x a JOIN y b ON a.event_type = b.event_type AND b.t > a.eval_ms - {2 * DAY} AND b.t <= a.eval_ms GROUP BY ALL) SELECT eval_ms, event_type, {_value('n / 172800.0', 8)} FROM z", ("event_type",), digits=8, store=tables.event_daily)
 
 
@@ -254,6 +301,10 @@ OTHERS_SQL = {
 }
 
 
+OTHERS |= catalog_ingest.QUERIES
+OTHERS_SQL |= catalog_ingest.SQL
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: entry.run for name, entry in ENTRIES.items()} | OTHERS
 

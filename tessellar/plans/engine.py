@@ -65,6 +65,8 @@ class Evaluator:
         if virtual is not None:
             out = projection.conflict_free(out, virtual)
         base = self.store.scan((Matcher(NAME, "=", name), *plain), low, high)
+        if len({m.name for m in special}) < len(special):
+            raise Invalid("le or quantile is matched twice")
         if any(m.name == "quantile" and m.op != "=" for m in special):
             raise Invalid("quantile can only be matched by equality")
         if any(m.name == "quantile" for m in special) or not special:

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..errors import LimitExceeded
 from ..functions.names import NAME, label_name
 from ..model import label
 from ..plans.syntax import Matcher
@@ -59,6 +60,10 @@ class Store:
             rows = rows.filter(matches(flat, m))
         return self.last_written(rows)
 
+    def limited(self, samples: int | None = None, series: int | None = None, values: int | None = None) -> Store:
+        """The same store for queries that may read at most so many samples and series, and expand a pattern to at most so many values."""
+        return LimitedStore(self.samples, self.unique, self.typed, self.columns, self.boundaries, samples, series, values)
+
     def last_written(self, rows: DataFrame) -> DataFrame:
         if self.unique:
             return rows
@@ -86,3 +91,26 @@ class Store:
         """The smallest and largest time of samples in the newest window, by windows: a small aggregate."""
         windows = self.samples.groupBy(F.floor(F.col("ts_ms") / window_ms).cast("bigint").alias("w")).agg(F.min("ts_ms").alias("min_ms"), F.max("ts_ms").alias("max_ms"))
         return windows.agg(F.max_by(F.struct("min_ms", "max_ms"), "w").alias("x")).select("x.min_ms", "x.max_ms")
+
+
+@dataclass
+class LimitedStore(Store):
+    """Counts what a scan matches before it is used, at most one more than allowed, and refuses the query beyond that."""
+
+    max_samples: int | None = None
+    max_series: int | None = None
+    max_values: int | None = None
+
+    def scan(self, matchers: tuple[Matcher, ...], low: int | None, high: int | None, metric: Column | None = None) -> DataFrame:
+        rows = super().scan(matchers, low, high, metric)
+
+        def guard(counted: DataFrame, most: int | None, what: str) -> None:
+            if most is not None and counted.limit(most + 1).count() > most:
+                raise LimitExceeded(f"the query reads more than {most} {what}")
+
+        for m in matchers:
+            if m.op in ("=~", "!~"):
+                guard(rows.select(F.col("metric") if m.name == NAME else label(F.col("labels"), m.name)).distinct(), self.max_values, f"values of {m.name}")
+        guard(rows.select("labels").distinct(), self.max_series, "series")
+        guard(rows.select("ts_ms"), self.max_samples, "samples")
+        return rows

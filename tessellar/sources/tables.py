@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import label_name, metric_name
 from ..model import DELTA, EXPONENTIAL, HIST, HISTOGRAM, SUMMARY, floats, labels_of
 from .store import Store
 
@@ -85,6 +86,52 @@ def event_daily(spark: SparkSession, sf_dir: str) -> Store:
     return Store(parts[0].unionByName(parts[1]).unionByName(parts[2]), unique=True, typed=True, boundaries=(64.0, 256.0))
 
 
+def _cumulative(rows: DataFrame, metric: str, kind: str, hist: Column, hint: int | None = None) -> DataFrame:
+    return _typed(rows, metric, kind, hist, None).withColumns({"start_ms": F.lit(0).cast("bigint"), "temporality": F.lit("cumulative"), "reset_hint": F.lit(hint).cast("int")})
+
+
+def event_totals(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...]) -> Store:
+    """Those of metrics that are wanted, of event_daily's and more: event_total and event_exp_total, the same as running totals; event_hinted, event_total where every sample says that it comes after a
+    reset; event_fine_daily, event_exp_daily at scale 1; event_classic_bucket, event_daily as float series."""
+    day = F.call_function("div", F.col("t"), F.lit(DAY).cast("bigint")) * DAY + DAY
+    rows, v = _events(spark, sf_dir).withColumn("ts_ms", day), F.col("value")
+    edges = (-math.inf, *BOUNDS, math.inf)
+    null = lambda t: F.lit(None).cast(t)
+    buckets = "array<struct<idx: int, cnt: double>>"
+    at = lambda scale: (F.ceil(F.log2(v) * (1 << scale)) - 1).cast("int")
+    listed = lambda name, span: F.filter(F.array(*(F.struct(F.lit(i).alias("idx"), F.col(f"{name}{i - span[0]}").alias("cnt")) for i in range(*span))), lambda b: b["cnt"] > 0)
+    one, two = (-12, 14), (-24, 28)
+    sums = {"n": F.count("*").cast("double"), "s": F.sum(v)} | {f"b{k}": F.sum(((v > a) & (v <= b)).cast("double")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))}
+    sums |= {f"e{i - one[0]}": F.sum((at(0) == i).cast("double")) for i in range(*one)} | {f"f{i - two[0]}": F.sum((at(1) == i).cast("double")) for i in range(*two)}
+    days = rows.groupBy("event_type", "ts_ms").agg(*(c.alias(k) for k, c in sums.items()))
+    running = Window.partitionBy("event_type").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
+    totals = days.select("event_type", "ts_ms", *(F.sum(k).over(running).alias(k) for k in sums if k[0] != "f"))
+    counts = F.array(*(f"b{k}" for k in range(len(BOUNDS) + 1)))
+    custom = F.struct(F.lit(False).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), F.array(*map(F.lit, BOUNDS)).alias("bounds"), counts.alias("counts"), null("int").alias("scale"), null("double").alias("zero_threshold"), null("double").alias("zero_count"), null(buckets).alias("pos"), null(buckets).alias("neg"))
+    exp = lambda scale, name, span: F.struct(F.lit(True).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), null("array<double>").alias("bounds"), null("array<double>").alias("counts"), F.lit(scale).alias("scale"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), listed(name, span).alias("pos"), F.array().cast(buckets).alias("neg"))
+    running_count = lambda k: sum((F.col(f"b{i}") for i in range(1, k + 1)), F.col("b0"))
+    les = F.explode(F.array(*(F.struct(F.lit(t).alias("le"), running_count(k).alias("c")) for k, t in enumerate(["10", "50", "100", "250", "+Inf"]))))
+    classic = floats(days.withColumn("x", les), "event_classic_bucket", F.col("ts_ms"), F.col("x.c"), event_type="event_type", le=F.col("x.le"), source=F.lit("classic"))
+    made = {
+        "event_total": lambda: _cumulative(totals, "event_total", HISTOGRAM, custom), "event_exp_total": lambda: _cumulative(totals, "event_exp_total", EXPONENTIAL, exp(0, "e", one)), "event_hinted": lambda: _cumulative(totals, "event_hinted", HISTOGRAM, custom, 1),
+        "event_daily": lambda: _typed(days, "event_daily", HISTOGRAM, custom, None), "event_exp_daily": lambda: _typed(days, "event_exp_daily", EXPONENTIAL, exp(0, "e", one), None), "event_fine_daily": lambda: _typed(days, "event_fine_daily", EXPONENTIAL, exp(1, "f", two), None), "event_classic_bucket": lambda: classic,
+    }
+    samples = made[metrics[0]]()
+    for name in metrics[1:]:
+        samples = samples.unionByName(made[name]())
+    return Store(samples, unique=True, typed=True)
+
+
+def totals_of(*metrics: str):
+    return lambda spark, sf_dir: event_totals(spark, sf_dir, metrics)
+
+
+def event_dotted(spark: SparkSession, sf_dir: str) -> Store:
+    """event_value under the dotted names event.value and event.type, in their canonical form."""
+    labels = {label_name("event.type"): "event_type", "user_id": "user_id"}
+    return _store(floats(_events(spark, sf_dir), metric_name("event.value"), F.col("t"), F.col("value"), **labels))
+
+
 def orders(spark: SparkSession, sf_dir: str) -> Store:
     """order_price at each order's date by customer, status and priority; customer_info = 1 with each customer's nation and segment, daily."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").cast("string").alias("custkey"), F.col("o_orderstatus").alias("status"), "o_totalprice", "o_orderkey", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST(o_orderdate AS TIMESTAMP_NTZ)) div 1000").alias("t"))
