@@ -4,14 +4,27 @@ import random
 
 from tessellar.llm import quality_rules
 
+COMMON = {"en": "the of and to in is that it for was with as".split(), "de": "der die und in den von zu das mit sich des auf".split()}
+
 
 def test_texts_without_common_words_go(spark):
     """Of the same letters and lengths: sound texts stay; word salad and another language's text under the label go."""
     rng = random.Random(1)
     noun = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
-    text = lambda lang: " ".join(rng.choice(quality_rules.COMMON[lang]) if lang and rng.random() < 0.2 else noun() for _ in range(300))
+    text = lambda lang: " ".join(rng.choice(COMMON[lang]) if lang and rng.random() < 0.2 else noun() for _ in range(300))
     rows = [(i, text(lang), lang) for i, lang in enumerate(["en", "de"] * 40)]
     rows += [(100, text(None), "en"), (101, text(None), "de"), (102, text("de"), "en"), (103, text("en"), "de"), (104, " ".join(noun() for _ in range(50)), "en")]
     got = {r["doc_id"]: r for r in quality_rules.divergence_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert all(got[i]["kept"] for i in range(80)) and got[104]["kept"]
     assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(100, 104))
+
+
+def test_common_words(spark):
+    """Lists are learned from whole texts of enough characters, ties by the word; null and empty lang are one; languages of few texts have no word distance."""
+    long = " ".join(["The the ab"] * 30 + ["cd"] * 40 + ["ef"] * 30)
+    rows = [(1, long, "xx"), (2, "zz " * 20, "xx"), (3, long, None), (4, "cd " * 100, ""), (5, None, "yy"), (6, "", "yy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["of"]: r["list"] for r in quality_rules.common_words(docs, n_common=3).collect()}
+    assert got == {"xx": ["the", "cd", "ab"], "": ["cd", "the", "ab"]}
+    out = quality_rules.divergence_rules(docs).collect()
+    assert len(out) == 6 and all(r["word_distance"] is None for r in out)
