@@ -101,10 +101,11 @@ def histograms(rows: DataFrame, lists: DataFrame) -> DataFrame:
 
 
 def distance(p: Column, q: Column) -> Column:
-    """The Jensen-Shannon distance of two histograms, base 2: 0 if equal, 1 if nothing is shared."""
+    """The Jensen-Shannon distance of two histograms, base 2: 0 if equal, 1 if nothing is shared, null if one of them is null."""
     half = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     terms = F.zip_with(p, q, lambda a, b: half(a, b) + half(b, a))
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2))
+    whole = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2
+    return F.sqrt(F.when(whole > 0, whole).when(whole <= 0, F.lit(0.0)))
 
 
 def divergence_rules(docs: DataFrame, max_classes: float = 0.28, max_common: float = 0.45, min_chars: int = 200, min_words: int = 60, common_share: float = 0.9, n_common: int = 12, min_texts: int = 30) -> DataFrame:
