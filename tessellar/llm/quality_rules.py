@@ -125,5 +125,6 @@ def divergence_rules(docs: DataFrame, max_classes: float = 0.28, max_common: flo
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """op7: the rules over every whole text of `documents`."""
-    return divergence_rules(shared.table(spark, sf_dir, "documents"))
+    """op7: the rules over every whole text of `documents`; distances are shown to six digits, verdicts use them in full."""
+    out = divergence_rules(shared.table(spark, sf_dir, "documents"))
+    return out.withColumns({name: F.round(name, 6) for name in ("class_distance", "word_distance")})

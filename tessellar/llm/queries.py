@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_extract, langid, packing, quality_fm, quality_rules, secret_scan, simhash, span_dedup, token_files
+from . import decontaminate, html_extract, langid, oracles, packing, quality_fm, quality_rules, secret_scan, simhash, span_dedup, token_files
 
 QUERIES = {
     "op1_line_block_extraction": html_extract.query,
@@ -16,4 +16,7 @@ QUERIES = {
     "op6_best_fit_packing": packing.query,
     "op8_token_files": token_files.query,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_prefix_decontamination": oracles.PREFIX_DECONTAMINATION,
+    "op7_distribution_rules": oracles.DISTRIBUTION_RULES,
+}
