@@ -49,23 +49,28 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield spanning(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def _cut(frame: DataFrame) -> DataFrame:
+    return shared.without_estimate(shared.cut(frame))
+
+
 def components(links: DataFrame) -> DataFrame:
     """From links (a, b) of longs to (node, root): each linked node with the smallest node of its component.
 
     Every step deals out by node with a minimum that is combined before the shuffle and written as a table of its own; so the join that brings it back has a shuffle
-    of its own too, in which the skew join can split a node with very many links. What is brought to the driver is a checksum."""
-    edges = shared.cut(links.filter("a <> b").mapInArrow(_forest, "a long, b long"))
+    of its own too, in which the skew join can split a node with very many links. What is brought to the driver is a checksum;
+    Spark's estimates of size are left behind at each step."""
+    edges = _cut(links.filter("a <> b").mapInArrow(_forest, "a long, b long"))
     before = None
     while True:
         # large star: of each node, link its larger neighbours to the least of its neighbours and itself
         both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = shared.cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
+        least = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")))
         edges = both.join(least, "a").filter("b > a").select(F.col("m").alias("a"), "b").filter("a <> b").distinct()
         # small star: of each node, link its smaller neighbours and itself to the least of them
-        down = shared.cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-        least = shared.cut(down.groupBy("a").agg(F.min("b").alias("m")))
+        down = _cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+        least = _cut(down.groupBy("a").agg(F.min("b").alias("m")))
         edges = down.join(least, "a").select(F.col("m").alias("a"), "b").filter("a <> b").unionByName(least.select(F.col("m").alias("a"), F.col("a").alias("b"))).distinct()
-        edges = shared.cut(edges)
+        edges = _cut(edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

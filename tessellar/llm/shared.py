@@ -42,6 +42,12 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def without_estimate(frame: DataFrame) -> DataFrame:
+    """The same rows without Spark's estimate of their size. A checkpoint keeps its plan's estimate, and a join's is the product of its sides': in a loop its digits double with each step, until they fill the driver's memory."""
+    session = frame.sparkSession
+    return DataFrame(session._jsparkSession.createDataFrame(frame._jdf.javaRDD(), frame._jdf.schema()), session)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

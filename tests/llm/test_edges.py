@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from tessellar.llm import decontaminate, html_extract, near_copies, secret_scan, shared, token_files
+from tessellar.llm import components, decontaminate, html_extract, near_copies, secret_scan, shared, token_files
 
 
 def test_rows_that_share_an_id(spark):
@@ -136,3 +136,13 @@ def test_scratch(spark, tmp_path):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.scratch_dir(Session())
+
+
+def test_estimates_do_not_grow_with_steps(spark):
+    """A long chain takes many steps; what the driver holds of a plan stays as it is after one."""
+    ids = list(range(2000))
+    random.Random(1).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long").repartition(8, "a")
+    roots = components.components(links)
+    assert {(r["node"], r["root"]) for r in roots.collect()} == {(i, 0) for i in ids}
+    assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
