@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -48,6 +49,12 @@ def without_estimate(frame: DataFrame) -> DataFrame:
     return DataFrame(session._jsparkSession.createDataFrame(frame._jdf.javaRDD(), frame._jdf.schema()), session)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of shuffle files and checkpoints that nothing refers to any more; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -138,6 +138,46 @@ def test_scratch(spark, tmp_path):
         shared.scratch_dir(Session())
 
 
+def test_no_link_is_left_out(spark):
+    """Texts under 0.8 to most others, in whose buckets others are the pivots, and copies each like only the text it is made of: the groups of a comparison of all pairs."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(160)]
+    made = []
+    for k in range(280):
+        other = list(base if k < 250 else made[k - 250])
+        for at in rng.sample(range(2, 157, 5), 2 if k < 250 else 3):
+            other[at] = word()
+        made.append(other)
+    grams = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in made]
+    group = list(range(len(made)))
+    for i in range(len(made)):
+        for j in range(i):
+            n = len(grams[i] & grams[j])
+            if 5 * n >= 4 * (len(grams[i]) + len(grams[j]) - n) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_copies(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(made)], "doc_id long, text string")).collect()}
+    assert [got[k] for k in range(len(made))] == group
+
+
+def test_prefixes_and_sketches():
+    """Sets at the similarity share a key, whatever is known as frequent; their sketches differ in no more bits than the sets in shingles."""
+    rng = np.random.default_rng(2)
+    for n in [*range(1, 60), 500]:
+        for similarity in (0.5, 0.8, 1.0):
+            a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+            gone = int(rng.integers(0, n + 1))
+            b = np.unique(np.concatenate((a[: n - gone], rng.integers(0, 1 << 63, int(rng.integers(0, n))).astype(np.uint64))))
+            known = np.sort(rng.permutation(a)[: n // 2])
+            counts = rng.integers(3, 9, len(known))
+            common, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            if common >= similarity * either and common:
+                assert len(np.intersect1d(near_copies.prefix_of(a, similarity, known, counts), near_copies.prefix_of(b, similarity, known, counts)))
+            bits = near_copies.sketch_of(a) ^ near_copies.sketch_of(b)
+            assert sum(int(x).bit_count() for x in bits.view(np.uint64)) <= either - common
+
+
 def test_estimates_do_not_grow_with_steps(spark):
     """A long chain takes many steps; what the driver holds of a plan stays as it is after one."""
     ids = list(range(2000))
