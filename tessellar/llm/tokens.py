@@ -15,8 +15,8 @@ from array import array
 
 import numpy as np
 
-#: So many different words are kept in a worker (about 120 MB), then it starts anew.
-KEEP_WORDS = 600_000
+#: So many different words are kept in a worker, whatever their kind, then it starts anew.
+KEEP_WORDS = 300_000
 _CUT = re.compile(r"(?= \S)")
 
 
@@ -90,8 +90,8 @@ class Encoder:
         """The text's ids, as bytes of self.kind; null has none."""
         if not text:
             return b""
-        for kept in (self.heads, self.tails, self.chunks):
-            if len(kept) > self.keep_words:
+        if len(self.heads) + len(self.tails) + len(self.chunks) > self.keep_words:
+            for kept in (self.heads, self.tails, self.chunks):
                 kept.clear()
                 kept.ends.clear()
         if "  " in text or " \n" in text or "\n " in text or "\n\n" in text or text[0].isspace() or text[-1].isspace() or sum(map(len, text.split())) + text.count(" ") + text.count("\n") < len(text):

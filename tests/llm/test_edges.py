@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from tessellar.llm import components, decontaminate, html_extract, near_copies, secret_scan, shared, token_files
+from tessellar.llm import components, decontaminate, html_extract, near_copies, secret_scan, shared, token_files, tokens
 
 
 def test_rows_that_share_an_id(spark):
@@ -186,3 +186,12 @@ def test_estimates_do_not_grow_with_steps(spark):
     roots = components.components(links)
     assert {(r["node"], r["root"]) for r in roots.collect()} == {(i, 0) for i in ids}
     assert roots._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+
+
+def test_kept_words_have_one_limit():
+    """Words at a line's start, behind a space and of odd white space count together; ids are the same after a new start."""
+    encode, plain = tokens.Encoder(tokens.default_path(), keep_words=40), tokens.Encoder(tokens.default_path())
+    for k in range(60):
+        text = "\n".join(f"h{k}{i} t{k}{i}" for i in range(6)) + "  x" * (k % 3 == 0)
+        assert encode.raw(text) == plain.raw(text)
+        assert sum(map(len, (encode.heads, encode.tails, encode.chunks))) <= 40 + 13
