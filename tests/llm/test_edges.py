@@ -195,3 +195,20 @@ def test_kept_words_have_one_limit():
         text = "\n".join(f"h{k}{i} t{k}{i}" for i in range(6)) + "  x" * (k % 3 == 0)
         assert encode.raw(text) == plain.raw(text)
         assert sum(map(len, (encode.heads, encode.tails, encode.chunks))) <= 40 + 13
+
+
+def test_keys_of_the_same_nodes_are_one_bucket(spark):
+    """Texts that share a passage share all its keys: one bucket with their number, whatever the passage's length; and a key that other nodes have stands by itself."""
+    members = spark.createDataFrame([(k, node, 9) for k in range(50) for node in (1, 2, 3)] + [(50, 1, 9), (50, 2, 9), (51, 1, 9), (52, 4, 9), (52, 5, 9)], "key long, node long, size long")
+    got = sorted((r["key"], r["node"], r["n"], r["weight"]) for r in near_copies.merged_buckets(members).collect())
+    assert got == [(0, node, 3, 50) for node in (1, 2, 3)] + [(50, 1, 2, 1), (50, 2, 2, 1), (52, 4, 2, 1), (52, 5, 2, 1)]
+
+
+def test_sample_grows_with_texts(spark, monkeypatch):
+    """A passage in a tenth of the texts is known as frequent however many texts there are for each of the least sample."""
+    monkeypatch.setattr(near_copies, "SAMPLE", 5)
+    line = "this line stands in one text of ten"
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}x{i}" for i in range(20)) + f" {line}" * (k % 10 == 0)) for k in range(800)], "doc_id long, text string")
+    keys, counts = near_copies.frequent_shingles(docs, docs, 5)
+    passage = near_copies.shingle_sets([line.encode()], 5)[0]
+    assert len(passage) == 4 and np.isin(passage, keys).all() and counts.min() >= near_copies.LEAST
