@@ -29,10 +29,10 @@ _SPACES = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
 
 
-def _length_without(text: Column, characters: str) -> Column:
+def _without(text: Column, characters: str) -> Column:
     for c in characters:
         text = F.replace(text, F.lit(c), F.lit(""))
-    return F.length(text).cast("long")
+    return text
 
 
 def _repeated(windows: Column) -> Column:
@@ -42,10 +42,11 @@ def _repeated(windows: Column) -> Column:
 
 
 def base_rules(docs: DataFrame, window: int = 5) -> DataFrame:
-    """(doc_id, lang, text, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row."""
+    """(doc_id, lang, text, words, bare, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed) of each row. bare: the text without a-z and white space, in which other characters are counted; it is short."""
     rows = shared.one_pass(docs, {"doc_id": "long", "lang": "string", "text": "string"}).withColumn("text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("words", F.filter(F.split("text", _SPLIT), lambda w: w != ""))
     rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    rows = rows.withColumn("rest", F.regexp_replace("text", "[a-z]+", "")).withColumn("bare", _without(F.col("rest"), _SPACES))
     lines = F.filter(F.split("text", "\n"), lambda line: F.length(F.trim(F.translate(line, "\t\x0b\x0c\r", "    "))) > 0)
     rows = rows.withColumn("lines", F.when(F.contains("text", F.lit("\n")), lines))
     places = F.when(F.col("n_words") >= window, F.transform(F.sequence(F.lit(1), F.col("n_words").cast("int") - (window - 1)), lambda i: F.xxhash64(F.slice("words", i, window))))
@@ -60,8 +61,9 @@ def base_rules(docs: DataFrame, window: int = 5) -> DataFrame:
         "text",
         "words",
         "n_words",
-        _length_without(F.col("text"), _SPACES).alias("word_chars"),
-        (F.length("text") - _length_without(F.col("text"), _SYMBOLS)).cast("long").alias("n_symbols"),
+        "bare",
+        (F.length("text") - F.length("rest") + F.length("bare")).cast("long").alias("word_chars"),
+        (F.length("bare") - F.length(_without(F.col("bare"), _SYMBOLS))).cast("long").alias("n_symbols"),
         F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
@@ -85,11 +87,10 @@ def _small(frame: DataFrame) -> DataFrame:
 
 def histograms(rows: DataFrame, lists: DataFrame) -> DataFrame:
     """Adds `classes`, shares of character classes, and `common`, shares of all other words and of each of the language's common ones, to what base_rules gives."""
-    text = F.col("text")
-    kept = lambda others: F.length(F.regexp_replace(text, others, "")).cast("long")
-    n = F.length(text).cast("long")
+    kept = lambda others: F.length(F.regexp_replace("bare", others, "")).cast("long")
+    n = F.length("text").cast("long")
     rows = rows.withColumn("lang", F.coalesce("lang", F.lit(""))).join(lists, F.col("lang") == F.col("of"), "left").drop("of")
-    rows = rows.withColumns({"n_chars": n, "small": kept("[^a-z]+"), "capital": kept("[^A-Z]+"), "digits": kept("[^0-9]+"), "others": kept(r"[\x00-\x7F]+"), "white": n - F.col("word_chars")})
+    rows = rows.withColumns({"n_chars": n, "small": F.col("word_chars") - F.length("bare"), "capital": kept("[^A-Z]+"), "digits": kept("[^0-9]+"), "others": kept(r"[\x00-\x7F]+"), "white": n - F.col("word_chars")})
     rows = rows.withColumn("listed", F.filter(F.transform("words", F.lower), lambda w: F.array_contains("list", w)))
     rows = rows.withColumn("counts", F.transform("list", lambda c: (F.size("listed") - F.size(F.array_remove("listed", c))).cast("double")))
     total = F.aggregate("counts", F.lit(0.0), lambda a, x: a + x)
@@ -97,7 +98,7 @@ def histograms(rows: DataFrame, lists: DataFrame) -> DataFrame:
     parts = [F.col(c).cast("double") for c in ("small", "capital", "digits", "others", "white", "n_symbols")]
     share = lambda x, of: F.transform(x, lambda v: v / F.greatest(of.cast("double"), F.lit(1.0)))
     rows = rows.withColumn("classes", share(F.array(*parts, signs.cast("double")), F.col("n_chars")))
-    return rows.withColumn("common", share(F.concat(F.array(F.col("n_words") - total), "counts"), F.col("n_words"))).drop("text", "words", "list", "listed", "counts", "small", "capital", "digits", "others", "white")
+    return rows.withColumn("common", share(F.concat(F.array(F.col("n_words") - total), "counts"), F.col("n_words"))).drop("text", "words", "bare", "list", "listed", "counts", "small", "capital", "digits", "others", "white")
 
 
 def distance(p: Column, q: Column) -> Column:

@@ -28,3 +28,17 @@ def test_common_words(spark):
     assert got == {"xx": ["the", "cd", "ab"], "": ["cd", "the", "ab"]}
     out = quality_rules.divergence_rules(docs).collect()
     assert len(out) == 6 and all(r["word_distance"] is None for r in out)
+
+
+def test_whole_texts_are_scanned_once_for_classes(spark):
+    """Classes are counted in what one pass over the text leaves; counts are those of a count by character."""
+    text = "Ab c\tÑñ 42 #|x\n\x0b\r\x0c é$ Zz-Z.\U0001f600 <q>"
+    docs = spark.createDataFrame([(1, text, "en"), (2, None, "en"), (3, "abc", "en")], "doc_id long, text string, lang string")
+    rows = quality_rules.histograms(quality_rules.base_rules(docs), quality_rules.common_words(docs))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(text") == 1
+    got = {r["doc_id"]: r for r in rows.collect()}
+    white, signs = " \t\n\x0b\x0c\r", "#*$%&|<>"
+    counts = [sum("a" <= c <= "z" for c in text), sum("A" <= c <= "Z" for c in text), sum("0" <= c <= "9" for c in text), sum(c > "\x7f" for c in text), sum(c in white for c in text), sum(c in signs for c in text)]
+    assert got[1]["classes"] == [x / len(text) for x in [*counts, len(text) - sum(counts)]]
+    assert (got[1]["word_chars"], got[1]["n_symbols"]) == (len(text) - counts[4], counts[5])
+    assert got[2]["classes"] == [0.0] * 7 and got[3]["classes"] == [1.0] + [0.0] * 6 and got[3]["word_chars"] == 3
