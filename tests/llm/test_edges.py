@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -212,3 +213,60 @@ def test_sample_grows_with_texts(spark, monkeypatch):
     keys, counts = near_copies.frequent_shingles(docs, docs, 5)
     passage = near_copies.shingle_sets([line.encode()], 5)[0]
     assert len(passage) == 4 and np.isin(passage, keys).all() and counts.min() >= near_copies.LEAST
+
+
+def rows_of_joins(frame):
+    """How many rows each inner join in the frame's plan makes."""
+    frame.collect()
+    found, todo = [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(plan.plan())
+        else:
+            if name in ("SortMergeJoinExec", "ShuffledHashJoinExec", "BroadcastHashJoinExec") and plan.joinType().toString() == "Inner":
+                found.append(plan.metrics().apply("numOutputRows").value())
+            todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return found
+
+
+def test_open_buckets_make_rows_of_early_keys(spark, monkeypatch):
+    """Long texts with sentences from one pool that no sample shows to be frequent: two texts make a row only where a shared key has as many shingles behind it as they must have in common; counted keys then leave no pair."""
+    monkeypatch.setattr(near_copies, "LEAST", 1000)
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    pool = [[word() for _ in range(8)] for _ in range(60)]
+    texts = [" ".join([w for s in rng.sample(pool, 30) for w in s] + [word() for _ in range(800)]) for _ in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = near_copies.prints_of(docs, 5)
+    members = near_copies.bucket_members(docs, prints, 5, 0.8)
+    none = spark.createDataFrame([], "node long, root long")
+    pairs = near_copies.open_candidates(members, prints, none, 0.8)
+    sets = [near_copies.shingle_sets([t.encode()], 5)[0] for t in texts]
+    firsts = [{k: r for r, k in enumerate(near_copies.prefix_of(x, 0.8, np.zeros(0, np.uint64), np.zeros(0, np.int64)).tolist())} for x in sets]
+    buckets = {}
+    for k in {k for x in firsts for k in x}:
+        held = tuple(i for i, x in enumerate(firsts) if k in x)
+        buckets.setdefault(held, []).append(k)
+    every, early, either = 0, 0, set()
+    for held, keys in buckets.items():
+        first = min(keys, key=lambda k: firsts[held[0]][k])
+        for i, j in itertools.combinations(held, 2):
+            every += 1
+            if min(len(sets[i]) - firsts[i][first], len(sets[j]) - firsts[j][first]) >= (len(sets[i]) + len(sets[j])) * 4 / 9 - 1e-6:
+                early += 1
+                either.add((i, j))
+    assert 0 < early < 0.7 * every and pairs.count() == len(either)
+    assert max(rows_of_joins(pairs)) == early
+    assert near_copies.sharing_enough(pairs, members, 0.8).count() == 0
+
+
+def test_shared_keys_are_counted_by_weight(spark):
+    """Of two texts of 100 shingles, 89 are in common at 0.8; 79 stand behind the keys of one, so ten keys decide, in however many buckets they are."""
+    pairs = spark.createDataFrame([(1, 100, 2, 100), (1, 100, 3, 100), (2, 100, 3, 100), (3, 100, 4, 100)], "a long, size_a long, b long, size_b long")
+    rows = [(7, 1, 9), (7, 2, 9), (-8, 1, 1), (-8, 2, 1), (9, 1, 9), (9, 3, 9), (5, 2, 4), (5, 3, 4), (6, 2, 6), (6, 3, 6)]
+    members = spark.createDataFrame(rows, "key long, node long, weight long")
+    assert sorted(map(tuple, near_copies.sharing_enough(pairs, members, 0.8).collect())) == [(1, 2), (2, 3)]
