@@ -118,7 +118,8 @@ def links(prints: DataFrame, distance: int = 2, parts: int = 2) -> DataFrame:
 
         return prints.select("fp").mapInArrow(anchors, "anchor long, fp long")
 
-    homes = spread(True).withColumnRenamed("fp", "a")
+    # Spark takes a fingerprint's 34 replicas for about one row of its own and would broadcast them all; so this join is always dealt out
+    homes = spread(True).withColumnRenamed("fp", "a").hint("merge")
     others = spread(False).withColumnRenamed("fp", "b")
     return homes.join(others, "anchor").filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)).select("a", "b")
 

@@ -10,7 +10,7 @@ import time
 import numpy as np
 import pytest
 
-from tessellar.llm import components, decontaminate, html_extract, near_copies, secret_scan, shared, token_files, tokens
+from tessellar.llm import components, decontaminate, html_extract, near_copies, secret_scan, shared, simhash, token_files, tokens
 
 
 def test_rows_that_share_an_id(spark):
@@ -270,3 +270,15 @@ def test_shared_keys_are_counted_by_weight(spark):
     rows = [(7, 1, 9), (7, 2, 9), (-8, 1, 1), (-8, 2, 1), (9, 1, 9), (9, 3, 9), (5, 2, 4), (5, 3, 4), (6, 2, 6), (6, 3, 6)]
     members = spark.createDataFrame(rows, "key long, node long, weight long")
     assert sorted(map(tuple, near_copies.sharing_enough(pairs, members, 0.8).collect())) == [(1, 2), (2, 3)]
+
+
+def test_replicas_are_not_broadcast(spark):
+    """Spark takes all replicas of the fingerprints for about as many rows as there are fingerprints, so their join must be dealt out however small it looks; the links stay right."""
+    rng = random.Random(4)
+    fps = {rng.getrandbits(63) for _ in range(40)}
+    fps |= {x ^ (1 << k) for x in fps for k in (3, 40)}
+    prints = spark.createDataFrame([(x,) for x in sorted(fps)], "fp long").groupBy("fp").count()
+    found = simhash.links(prints)
+    assert sorted({tuple(r) for r in found.collect()}) == [(a, b) for a, b in itertools.combinations(sorted(fps), 2) if (a ^ b).bit_count() <= 2]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
