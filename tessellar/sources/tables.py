@@ -77,10 +77,12 @@ def event_daily(spark: SparkSession, sf_dir: str) -> Store:
     days = rows.groupBy("event_type", "ts_ms").agg(F.count("*").cast("double").alias("n"), F.sum(v).alias("s"), counts.alias("counts"), F.percentile(v, F.lit(0.5)).alias("q50"), F.percentile(v, F.lit(0.9)).alias("q90"))
     null = lambda t: F.lit(None).cast(t)
     custom = F.struct(F.lit(False).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), F.array(*map(F.lit, BOUNDS)).alias("bounds"), "counts", null("int").alias("scale"), null("double").alias("zero_threshold"), null("double").alias("zero_count"), null("array<struct<idx: int, cnt: double>>").alias("pos"), null("array<struct<idx: int, cnt: double>>").alias("neg"))
-    idx = (F.ceil(F.log2(v)) - 1).cast("int")  # base 2: (2^i, 2^(i+1)]
-    by_idx = rows.groupBy("event_type", "ts_ms", idx.alias("idx")).agg(F.count("*").cast("double").alias("cnt"), F.sum(v).alias("s"))
-    exp_days = by_idx.groupBy("event_type", "ts_ms").agg(F.sum("cnt").alias("n"), F.sum("s").alias("s"), F.array_sort(F.collect_list(F.struct("idx", "cnt"))).alias("pos"))
-    exp = F.struct(F.lit(True).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), null("array<double>").alias("bounds"), null("array<double>").alias("counts"), F.lit(0).alias("scale"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), "pos", F.array().cast("array<struct<idx: int, cnt: double>>").alias("neg"))
+    idx = (F.ceil(F.log2(F.abs(v))) - 1).cast("int")  # base 2: (2^i, 2^(i+1)]; NULL for 0, which is counted apart
+    by_idx = rows.groupBy("event_type", "ts_ms", F.signum(v).alias("sign"), idx.alias("idx")).agg(F.count("*").cast("double").alias("cnt"), F.sum(v).alias("s"))
+    of = lambda sign: F.array_sort(F.collect_list(F.when(F.col("sign") == sign, F.struct("idx", "cnt"))))
+    zeros = F.coalesce(F.sum(F.when(F.col("sign") == 0, F.col("cnt"))), F.lit(0.0))
+    exp_days = by_idx.groupBy("event_type", "ts_ms").agg(F.sum("cnt").alias("n"), F.sum("s").alias("s"), zeros.alias("zeros"), of(1).alias("pos"), of(-1).alias("neg"))
+    exp = F.struct(F.lit(True).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), null("array<double>").alias("bounds"), null("array<double>").alias("counts"), F.lit(0).alias("scale"), F.lit(0.0).alias("zero_threshold"), F.col("zeros").alias("zero_count"), "pos", "neg")
     summary = F.struct(F.col("n").alias("count"), F.col("s").alias("sum"), F.array(F.struct(F.lit(0.5).alias("q"), F.col("q50").alias("v")), F.struct(F.lit(0.9).alias("q"), F.col("q90").alias("v"))).alias("quantiles"))
     parts = [_typed(days, "event_daily", HISTOGRAM, custom, None), _typed(exp_days, "event_exp_daily", EXPONENTIAL, exp, None), _typed(days, "event_summary_daily", "summary", None, summary)]
     return Store(parts[0].unionByName(parts[1]).unionByName(parts[2]), unique=True, typed=True, boundaries=(64.0, 256.0))
@@ -101,14 +103,14 @@ def event_totals(spark: SparkSession, sf_dir: str, metrics: tuple[str, ...]) ->
     at = lambda scale: (F.ceil(F.log2(v) * (1 << scale)) - 1).cast("int")
     listed = lambda name, span: F.filter(F.array(*(F.struct(F.lit(i).alias("idx"), F.col(f"{name}{i - span[0]}").alias("cnt")) for i in range(*span))), lambda b: b["cnt"] > 0)
     one, two = (-12, 14), (-24, 28)
-    sums = {"n": F.count("*").cast("double"), "s": F.sum(v)} | {f"b{k}": F.sum(((v > a) & (v <= b)).cast("double")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))}
+    sums = {"n": F.count("*").cast("double"), "s": F.sum(v), "z": F.sum((v == 0).cast("double"))} | {f"b{k}": F.sum(((v > a) & (v <= b)).cast("double")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))}
     sums |= {f"e{i - one[0]}": F.sum((at(0) == i).cast("double")) for i in range(*one)} | {f"f{i - two[0]}": F.sum((at(1) == i).cast("double")) for i in range(*two)}
     days = rows.groupBy("event_type", "ts_ms").agg(*(c.alias(k) for k, c in sums.items()))
     running = Window.partitionBy("event_type").orderBy("ts_ms").rowsBetween(Window.unboundedPreceding, 0)
     totals = days.select("event_type", "ts_ms", *(F.sum(k).over(running).alias(k) for k in sums if k[0] != "f"))
     counts = F.array(*(f"b{k}" for k in range(len(BOUNDS) + 1)))
     custom = F.struct(F.lit(False).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), F.array(*map(F.lit, BOUNDS)).alias("bounds"), counts.alias("counts"), null("int").alias("scale"), null("double").alias("zero_threshold"), null("double").alias("zero_count"), null(buckets).alias("pos"), null(buckets).alias("neg"))
-    exp = lambda scale, name, span: F.struct(F.lit(True).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), null("array<double>").alias("bounds"), null("array<double>").alias("counts"), F.lit(scale).alias("scale"), F.lit(0.0).alias("zero_threshold"), F.lit(0.0).alias("zero_count"), listed(name, span).alias("pos"), F.array().cast(buckets).alias("neg"))
+    exp = lambda scale, name, span: F.struct(F.lit(True).alias("exp"), F.col("n").alias("count"), F.col("s").alias("sum"), null("array<double>").alias("bounds"), null("array<double>").alias("counts"), F.lit(scale).alias("scale"), F.lit(0.0).alias("zero_threshold"), F.col("z").alias("zero_count"), listed(name, span).alias("pos"), F.array().cast(buckets).alias("neg"))
     running_count = lambda k: sum((F.col(f"b{i}") for i in range(1, k + 1)), F.col("b0"))
     les = F.explode(F.array(*(F.struct(F.lit(t).alias("le"), running_count(k).alias("c")) for k, t in enumerate(["10", "50", "100", "250", "+Inf"]))))
     classic = floats(days.withColumn("x", les), "event_classic_bucket", F.col("ts_ms"), F.col("x.c"), event_type="event_type", le=F.col("x.le"), source=F.lit("classic"))

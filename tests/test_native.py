@@ -1,5 +1,6 @@
 """Typed metrics: projections, native histograms, reset hints."""
 
+import datetime
 import math
 
 import pytest
@@ -7,6 +8,7 @@ import pytest
 from tessellar.functions import histograms as H
 from tessellar.functions.names import NAME
 from tessellar.plans import engine
+from tessellar.sources import tables
 
 from .helpers import at, row, rows_of, series, store
 
@@ -157,3 +159,20 @@ def test_conflict(spark):
 def test_range_of_typed(spark, held):
     got = rows_of(engine.range_query(spark, held, "histogram_count(rate(lat{job='a'}[20s]))", 20_000, 40_000, 10_000))
     assert [v for _, v in sorted(got.items())] == [pytest.approx(0.5)] * 3
+
+
+def test_values_of_zero_have_a_bucket(spark, tmp_path):
+    """An exponential histogram of a table counts 0 apart and negative values on their own side, and queries over it count all of them."""
+    values = [0.0, 0.0, 1.0, 3.0, -3.0]
+    rows = [(i, datetime.datetime(2024, 1, 1 + day, 6, 0, i), 1, "click", v) for day in (0, 1) for i, v in enumerate(values + [0.0] * (day == 0))]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    end = 1_704_067_200_000 + 2 * tables.DAY
+    for held in (tables.event_daily(spark, str(tmp_path)), tables.event_totals(spark, str(tmp_path), ("event_exp_daily",))):
+        first = held.samples.filter("metric = 'event_exp_daily'").orderBy("ts_ms").first()["hist"]
+        assert (first["count"], first["zero_count"], [tuple(b) for b in first["pos"]]) == (6.0, 3.0, [(-1, 1.0), (1, 1.0)])
+        assert at(spark, held, "histogram_sum(avg(event_exp_daily))", end) == {"": 1.0}
+        assert at(spark, held, "resets(event_exp_daily[3d])", end) == {"event_type=click": 1.0}
+    daily = tables.event_daily(spark, str(tmp_path))
+    assert [tuple(b) for b in daily.samples.filter("metric = 'event_exp_daily'").orderBy("ts_ms").first()["hist"]["neg"]] == [(1, 1.0)]
+    assert at(spark, daily, "histogram_quantile(0.5, sum(event_exp_daily))", end) == {"": 0.0}
+    assert at(spark, daily, 'increase(event_exp_daily_bucket{le="64"}[1d])', end) == {"event_type=click,le=64": 5.0}
