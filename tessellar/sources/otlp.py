@@ -1,15 +1,16 @@
 """OTLP metrics, as JSON export requests or rows of that structure, to samples.
 
 Captures are JSON lines (seq, partition, captured_ms, payload) or Kafka records; the payload is an ExportMetricsServiceRequest in OTLP's JSON
-form. Everything is explodes and projections; only label names, which need a hash of the original, come from an Arrow function over
-distinct names. Datapoints without a value, or of an invalid shape, are counted and left out."""
+form. Everything is explodes and projections; only names and labels, which need a hash of the original name, come from an Arrow function, which
+looks at each different name of a batch once. Datapoints without a value, or of an invalid shape, are counted and left out."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,26 +74,44 @@ def datapoints(messages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return rows.select("seq", *keep, order.alias("write_seq"), "captured_ms", "resource", "name", "kind", temporality.alias("temporality"), "p", F.col("p.timeUnixNano").cast("bigint").alias("time_ns"))
 
 
-def _canonical(rows: DataFrame) -> DataFrame:
-    """labels and metric in canonical form: point attributes over the resource's, the later over the earlier of one key, names made plain."""
-    _labels = pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))
-
-    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str] = {}
-        for batch in batches:
-            out, metrics = [], []
-            for name, pairs in zip(batch.column("name").to_pylist(), batch.column("pairs").to_pylist(), strict=True):
-                merged = {p["key"]: p["value"] for p in pairs or [] if p["key"] and p["key"] != NAME and p["value"] is not None}
-                labels = {known.setdefault(k, label_name(k)): v for k, v in merged.items()} | {NAME: known.setdefault("\0" + name, metric_name(name))}
-                out.append([{"name": k, "value": v} for k, v in sorted(labels.items())])
-                metrics.append(labels[NAME])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(metrics), pa.array(out, _labels)], [*batch.schema.names[:-2], "metric", "labels"])
+def canonical(names: pa.Array, pairs: pa.Array) -> pa.Array:
+    """(metric, labels) in canonical form of metrics' names and their attributes, lists of (key, value): the later over the earlier of one key, names made plain. Each different name is looked at once;
+    all else is arithmetic over whole batches."""
+    n = len(names)
+    flat = pairs.flatten()
+    of_row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(pairs), 0).to_numpy(zero_copy_only=False))
+    keys, texts = flat.field("key"), flat.field("value").cast(pa.string())
+    kept = pc.and_(pc.is_valid(texts), pc.fill_null(pc.and_(pc.not_equal(keys, ""), pc.not_equal(keys, NAME)), False)).to_numpy(zero_copy_only=False)
+    of_row, coded, texts = of_row[kept], keys.filter(pa.array(kept)).dictionary_encode(), texts.filter(pa.array(kept))
+    plain = [label_name(k) for k in coded.dictionary.to_pylist()]
+    places = {name: i for i, name in enumerate(sorted({*plain, NAME}))}
+    code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.arange(len(code))
+    if len({*plain}) < len(plain):  # different keys of one plain name: the one that comes first in its row later counts
+        first: dict[tuple[int, int], int] = {}
+        turn = np.array([first.setdefault(x, i) for i, x in enumerate(zip(of_row.tolist(), code.tolist(), strict=True))], np.int64)
+    else:
+        turn = np.zeros(len(code), np.int64)
+    metrics = names.dictionary_encode()
+    metric = pa.array([metric_name(x) for x in metrics.dictionary.to_pylist()], pa.string()).take(metrics.indices)
+    of_row, place = np.concatenate((of_row, np.arange(n))), np.concatenate((np.array([places[x] for x in plain], np.int64)[code], np.full(n, places[NAME])))
+    turn, at = np.concatenate((turn, np.zeros(n, np.int64))), np.concatenate((at, len(at) + np.arange(n)))
+    order = np.lexsort((at, turn, place, of_row))
+    last = np.ones(len(order), bool)
+    last[:-1] = (of_row[order][1:] != of_row[order][:-1]) | (place[order][1:] != place[order][:-1])
+    order = order[last]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(of_row[order], minlength=n)))).astype(np.int32)
+    values = pa.concat_arrays([texts, metric]).take(pa.array(order))
+    found = pa.StructArray.from_arrays([pa.array([*places], pa.string()).take(pa.array(place[order])), values], names=["name", "value"])
+    return pa.StructArray.from_arrays([metric, pa.ListArray.from_arrays(pa.array(ends), found)], names=["metric", "labels"])
+
 
+def _canonical(rows: DataFrame) -> DataFrame:
+    """rows with labels and metric: point attributes over the resource's. Only names and attributes go through Python."""
+    renamed = F.arrow_udf(canonical, f"metric string, labels {LABELS}")
     pairs = lambda c: F.transform(F.coalesce(F.col(c), F.array().cast(_ATTRIBUTES)), lambda a: F.struct(a["key"].alias("key"), _text(a["value"]).alias("value")))
-    flat = rows.withColumn("pairs", F.concat(pairs("resource"), pairs("attributes"))).drop("resource", "attributes")
-    flat = flat.select(*(c for c in flat.columns if c not in ("name", "pairs")), "name", "pairs")
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema if f.name not in ("name", "pairs"))
-    return flat.mapInArrow(rename, f"{names}, metric string, labels {LABELS}")
+    both = rows.withColumn("_named", renamed("name", F.concat(pairs("resource"), pairs("attributes"))))
+    return both.select(*(c for c in rows.columns if c not in ("resource", "attributes", "name")), "_named.metric", "_named.labels")
 
 
 def samples(points: DataFrame) -> DataFrame:

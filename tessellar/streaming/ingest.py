@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -61,6 +62,7 @@ class Ingest:
         if state is not None:  # the newest samples before come first in write order, and go again
             before = state.filter("hist is not null or summary is not null").select("labels", F.lit("").alias("metric"), F.col("last_ms").alias("ts_ms"), "kind", F.lit(None).cast("double").alias("value"), F.lit(False).alias("is_stale"), "start_ms", F.lit("cumulative").alias("temporality"), F.lit(None).cast("int").alias("reset_hint"), "hist", "summary", F.lit(-1).cast("bigint").alias("write_seq"))
             rows = rows.unionByName(before)
+        rows = rows.repartition("labels")  # the one shuffle that hints, lanes and what is known of a series need
         return stamp(rows).filter("write_seq >= 0"), refused
 
     def state(self, batch: int) -> DataFrame | None:
@@ -89,14 +91,21 @@ class Ingest:
         state = self.state(batch)
         rows, _ = self.decode(messages, state)
         known = None if state is None else state.groupBy("labels").agg(F.max("last_ms").alias("last_ms"))
-        kept = lanes(rows, known, self.ooo_window_ms, self.window_ms).filter(F.col("lane") != TOO_LATE)
+        # decoded once, though three passes follow: the bounds of the files' ranges, the files, the state
+        kept = lanes(rows, known, self.ooo_window_ms, self.window_ms).filter(F.col("lane") != TOO_LATE).persist(StorageLevel.DISK_ONLY)
+        try:
+            self._write(kept, state, batch)
+        finally:
+            kept.unpersist()
+        self._note("commits", batch=batch)
+
+    def _write(self, kept: DataFrame, state: DataFrame | None, batch: int) -> None:
         # of one batch, the out-of-order lane is written after the in-order one
         seq = F.lit(batch << 40) + F.when(F.col("lane") == OUT_OF_ORDER, F.lit(1 << 39)).otherwise(F.lit(0)) + F.pmod(F.col("write_seq"), F.lit(1 << 39))
         out = kept.withColumn("write_seq", seq).withColumn("window_start", window_start("ts_ms", self.window_ms)).withColumn("batch", F.lit(batch)).drop("lane")
         out = out.repartitionByRange("metric", F.xxhash64("labels")).sortWithinPartitions("metric", "labels", "ts_ms")  # a large metric is many tasks' work
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("window_start", "batch").parquet(self.path)
         self._write_state(state, kept, batch)  # after the samples: a batch that fails between them is taken again from the same state
-        self._note("commits", batch=batch)
 
     def _note(self, log: str, **fields: int) -> None:
         """Append a line to a log beside the table: batches committed, or windows tombstoned."""

@@ -2,12 +2,15 @@
 
 import json
 import os
+import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessellar.api import Api, step_ms, timestamp_ms
 from tessellar.errors import Invalid, NotReady
+from tessellar.functions.names import NAME, label_name, metric_name
 from tessellar.sources import otlp
 from tessellar.sources.event_time import EventTimePolicy
 from tessellar.sources.store import Store
@@ -139,3 +142,39 @@ def test_api(spark):
     for bad in ("x", "nan", "2024-01-01"):
         with pytest.raises(Invalid):
             timestamp_ms(bad)
+
+
+def test_a_batch_is_decoded_once(spark, tmp_path):
+    """The files' ranges, the files and the state are three passes over a batch, but its messages are read once."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    point = {"timeUnixNano": str(10**15), "asDouble": 1.0}
+    rows = [(i, 0, 10**9, otlp.request({"name": "m", "gauge": {"dataPoints": [point]}}, {"k": f"v{i}"})) for i in range(40)]
+    messages = spark.createDataFrame(rows, otlp.CAPTURE).mapInArrow(counted, otlp.CAPTURE)
+    taken = Ingest(spark, f"{tmp_path}/table", EventTimePolicy(drop_outdated=False))
+    taken.take(messages, 0)
+    assert seen.value == 40
+    assert taken.read().count() == 40 and taken.state(1).count() == 40
+
+
+def test_labels_of_whole_batches():
+    """Names and labels of a batch at once against one row after the other: keys twice, plain names of several keys, nulls, empty lists, slices."""
+    rng = random.Random(3)
+    keys = ["a", "b.c", label_name("b.c"), "__x", "", NAME, None, "é", "0a", "z", "A"]
+    names = [rng.choice(["m", "x.y", "é", "a:b"]) for _ in range(300)]
+    pairs = [None if rng.random() < 0.1 else [{"key": rng.choice(keys), "value": rng.choice(["1", "", None, "q"])} for _ in range(rng.randrange(7))] for _ in names]
+
+    def one(name, attributes):
+        merged = {p["key"]: p["value"] for p in attributes or [] if p["key"] and p["key"] != NAME and p["value"] is not None}
+        labels = {label_name(k): v for k, v in merged.items()} | {NAME: metric_name(name)}
+        return {"metric": labels[NAME], "labels": [{"name": k, "value": v} for k, v in sorted(labels.items())]}
+
+    kind = pa.list_(pa.struct([("key", pa.string()), ("value", pa.string())]))
+    want = [one(*x) for x in zip(names, pairs, strict=True)]
+    for part in (slice(0, 300), slice(7, 90), slice(5, 5)):
+        assert otlp.canonical(pa.array(names, pa.string())[part], pa.array(pairs, kind)[part]).to_pylist() == want[part]
