@@ -1,13 +1,15 @@
 """Range functions over float samples, for every evaluation time at once.
 
 Windows that slide by less than their length overlap; so what can be merged (sums, extremes, moments, counters, edges) is first
-aggregated into slots, the greatest pieces that all windows are made of, and only slots are repeated for the windows that they are in. Functions of
+aggregated into slots, the greatest pieces that all windows are made of. Each slot has a list of those before it in a window's length, and makes the windows whose newest it is; nothing holds all windows. Functions of
 neighbours (counters, changes, resets, irate, idelta, delta) see each sample's predecessor once, by a window over the series, before anything is repeated: what the first sample in a window
 adds is taken off again. As that window deals out by labels, the aggregates after it need no further shuffle. Only quantiles and smoothing, which need all values in order, take
 windows of samples."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,50 @@ def _windows(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame
     return rows.withColumn("eval_ms", F.explode(grid.times(F.col("ts_ms"), length, offset)))
 
 
+def _overlap(grid: Grid, length: int) -> bool:
+    """Whether windows share slots, so that aggregating those first spares repeating samples."""
+    return grid.size > 1 and grid.step < length and length // grid.slot(length) <= MOST_SLOTS
+
+
+def _dealt(rows: DataFrame, *also: str) -> DataFrame:
+    """rows by series, and the columns of also, over as many tasks as the session's shuffles have. Spark would put partitions together by their compressed sizes, which labels make far too low."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "labels", *also)
+
+
+def _by_slot(rows: DataFrame, grid: Grid, length: int, offset: int, parts: dict[str, Column]) -> DataFrame:
+    """rows by series and slot: dealt out by both, so that a series of very many samples is many tasks' work, then slots by series."""
+    rows = _dealt(rows.withColumn("slot", _slot_end(grid, length, offset)), "slot")
+    return _dealt(rows.groupBy("labels", "slot").agg(*(v.alias(k) for k, v in parts.items())))
+
+
+def _lists(slots: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
+    """(labels, eval_ms, w): of overlapping windows each one's slots, rows (labels, slot, ...) dealt out by labels, in order. Each slot has those of a window's length up to it beside it and makes
+    a row for each evaluation time whose newest it is; so what is held is a series' slots, and no task holds its windows."""
+    g = grid.slot(length)
+    series = Window.partitionBy("labels").orderBy("slot")
+    held = F.collect_set(F.struct(*(c for c in slots.columns if c != "labels"))).over(series.rangeBetween(g - length, 0))
+    rows = slots.select("labels", "slot", F.sort_array(held).alias("_held"), F.lead("slot").over(series).alias("_next"))
+    newest = F.filter(grid.times(F.col("slot"), length - g + 1, offset), lambda e: F.col("_next").isNull() | (e < F.col("_next") + offset))
+    rows = rows.select("labels", "_held", F.explode(newest).alias("eval_ms"))
+    return rows.select("labels", "eval_ms", F.filter("_held", lambda x: x["slot"] > F.col("eval_ms") - (offset + length)).alias("w"))
+
+
+def _all(w: Column, name: str) -> Column:
+    return F.transform(w, lambda x: x[name])
+
+
+def _total(w: Column, name: str) -> Column:
+    return F.aggregate(w, F.lit(0.0), lambda s, x: s + x[name].cast("double"))
+
+
+def _first(w: Column, name: str) -> Column:
+    return F.get(w, F.lit(0))[name]
+
+
+def _last(w: Column, name: str) -> Column:
+    return F.get(w, F.size(w) - 1)[name]
+
+
 def _last_of_steps(rows: DataFrame, grid: Grid, length: int, offset: int, columns: tuple[str, ...]) -> DataFrame:
     """Of the samples of a series between two evaluation times only the newest, where windows overlap: no window's newest sample is another."""
     if not (grid.size > 1 and grid.step < length):
@@ -62,6 +108,11 @@ def _moments(rows, grid, length, offset, needed: tuple[str, ...]) -> DataFrame:
     parts = {"n": F.count("*"), "s": F.sum("value"), "scaled": F.sum(v * 2.0**-64), "finite": F.max(F.when(ieee.is_finite(v), 0).otherwise(1)), "low": F.min("value"), "high": F.max(F.when(~F.isnan(v), v)), "last": F.max_by("value", "ts_ms"), "at": F.max("ts_ms")}
     merged = {"n": F.sum("n").cast("double"), "s": F.sum("s"), "scaled": F.sum("scaled"), "finite": F.max("finite"), "low": F.min("low"), "high": F.max("high"), "last": F.max_by("last", "at")}
     kept = {*needed, "at"} if "last" in needed else {*needed}
+    if _overlap(grid, length):
+        w = F.col("w")
+        of = {"n": _total(w, "n"), "s": _total(w, "s"), "scaled": _total(w, "scaled"), "finite": F.array_max(_all(w, "finite")), "low": F.array_min(_all(w, "low")), "high": F.array_max(_all(w, "high")), "last": _last(w, "last")}
+        slots = _by_slot(rows, grid, length, offset, {k: p for k, p in parts.items() if k in kept})
+        return _lists(slots, grid, length, offset).select("labels", "eval_ms", *(of[k].alias(k) for k in needed))
     slots = _slots(rows, grid, length, offset, {k: p for k, p in parts.items() if k in kept})
     return slots.groupBy("labels", "eval_ms").agg(*(merged[k].alias(k) for k in needed))
 
@@ -103,12 +154,20 @@ def factor(n: Column, first: Column, last: Column, start: Column, end: Column, f
 def counter(rows: DataFrame, grid: Grid, length: int, offset: int, per_second: bool) -> DataFrame:
     series = Window.partitionBy("labels").orderBy("ts_ms")
     add, bad = _adjusted(F.lag("value").over(series), F.col("value"), F.col("reset_hint"))
-    rows = rows.withColumns({"add": add, "bad": bad})
+    rows = _dealt(rows).withColumns({"add": add, "bad": bad})
     parts = {"n": F.count("*"), "t0": F.min("ts_ms"), "t1": F.max("ts_ms"), "v0": F.min_by("value", "ts_ms"), "v1": F.max_by("value", "ts_ms"), "add": F.sum("add"), "add0": F.min_by("add", "ts_ms"), "bad": F.sum("bad"), "bad0": F.min_by("bad", "ts_ms")}
+    if _overlap(grid, length):
+        slots, w = rows.groupBy("labels", _slot_end(grid, length, offset).alias("slot")).agg(*(v.alias(k) for k, v in parts.items())), F.col("w")
+        grown = {"n": _total(w, "n"), "v0": _first(w, "v0"), "v1": _last(w, "v1"), "adds": _total(w, "add") - _first(w, "add0"), "bads": _total(w, "bad") - _first(w, "bad0"), "t0": _first(w, "t0"), "t1": _last(w, "t1")}
+        return _extrapolated(_lists(slots, grid, length, offset).select("labels", "eval_ms", *(v.alias(k) for k, v in grown.items())), length, offset, per_second)
     slots = _slots(rows, grid, length, offset, parts)
     w = slots.groupBy("labels", "eval_ms").agg(
         F.sum("n").alias("n"), F.min_by("v0", "t0").alias("v0"), F.max_by("v1", "t1").alias("v1"), (F.sum("add") - F.min_by("add0", "t0")).alias("adds"), (F.sum("bad") - F.min_by("bad0", "t0")).alias("bads"), F.min("t0").alias("t0"), F.max("t1").alias("t1"),
     )
+    return _extrapolated(w, length, offset, per_second)
+
+
+def _extrapolated(w: DataFrame, length: int, offset: int, per_second: bool) -> DataFrame:
     w = w.filter((F.col("n") >= 2) & (F.col("t1") > F.col("t0")) & (F.col("bads") == 0)).withColumn("raw", F.col("v1") - F.col("v0") + F.col("adds"))
     end = F.col("eval_ms") - offset
     f = factor(F.col("n"), F.col("t0"), F.col("t1"), end - length, end, F.col("v0"), F.col("raw"))
@@ -124,7 +183,11 @@ def delta_counter(rows: DataFrame, grid: Grid, length: int, offset: int, per_sec
 def _changes(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
     before = F.lag("value").over(Window.partitionBy("labels").orderBy("ts_ms"))
     changed = F.when(before.isNull(), 0).otherwise((~(ieee.eq(before, F.col("value")) | F.isnan(before) & F.isnan("value"))).cast("int"))
-    slots = _slots(rows.withColumn("c", changed), grid, length, offset, {"t0": F.min("ts_ms"), "c": F.sum("c"), "c0": F.min_by("c", "ts_ms")})
+    rows, parts = _dealt(rows).withColumn("c", changed), {"t0": F.min("ts_ms"), "c": F.sum("c"), "c0": F.min_by("c", "ts_ms")}
+    if _overlap(grid, length):
+        slots, w = rows.groupBy("labels", _slot_end(grid, length, offset).alias("slot")).agg(*(v.alias(k) for k, v in parts.items())), F.col("w")
+        return _lists(slots, grid, length, offset).select("labels", "eval_ms", (_total(w, "c") - _first(w, "c0")).alias("value"))
+    slots = _slots(rows, grid, length, offset, parts)
     return slots.groupBy("labels", "eval_ms").agg((F.sum("c") - F.min_by("c0", "t0")).cast("double").alias("value"))
 
 
@@ -132,11 +195,18 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     """rows with their predecessors in the series (pv, pt) and seg, how many samples that are not finite the series has had, the sample included."""
     series = Window.partitionBy("labels").orderBy("ts_ms")
     bad = (~ieee.is_finite(F.col("value"))).cast("int")
-    return rows.withColumns({"pv": F.lag("value").over(series), "pt": F.lag("ts_ms").over(series), "seg": F.sum(bad).over(series), "hint": F.coalesce("reset_hint", F.lit(0))})
+    return _dealt(rows).withColumns({"pv": F.lag("value").over(series), "pt": F.lag("ts_ms").over(series), "seg": F.sum(bad).over(series), "hint": F.coalesce("reset_hint", F.lit(0))})
 
 
-def _after_odd(rows: DataFrame, grid: Grid, length: int, offset: int, parts: dict[str, Column], merged: dict[str, Column]) -> DataFrame:
-    """Of each window what stands after its last sample that is not finite: parts by slot and seg, merged by seg, of which the last counts."""
+def _after_odd(rows: DataFrame, grid: Grid, length: int, offset: int, parts: dict[str, Column], merged: dict[str, Column], of: Callable[[Column], dict[str, Column]]) -> DataFrame:
+    """Of each window what stands after its last sample that is not finite: parts by slot and seg, merged by seg, of which the last counts. Of overlapping windows' slots only the last seg can be
+    that of a window's last; of makes from a list of slots what merged makes from a group."""
+    if _overlap(grid, length):
+        slots = rows.groupBy("labels", _slot_end(grid, length, offset).alias("slot"), "seg").agg(*(v.alias(k) for k, v in parts.items()))
+        slots = slots.groupBy("labels", "slot").agg(F.max(F.struct("seg", *parts)).alias("x")).select("labels", "slot", "x.*")
+        w = _lists(slots, grid, length, offset)
+        w = w.select("labels", "eval_ms", F.filter("w", lambda x: x["seg"] == _last(F.col("w"), "seg")).alias("w"))
+        return w.select("labels", "eval_ms", *(v.alias(k) for k, v in of(F.col("w")).items()))
     slots = _slots(rows, grid, length, offset, parts, "seg")
     by_seg = slots.groupBy("labels", "eval_ms", "seg").agg(*(v.alias(k) for k, v in merged.items()))
     return by_seg.groupBy("labels", "eval_ms").agg(*(F.max_by(k, "seg").alias(k) for k in merged))
@@ -147,7 +217,12 @@ def _delta(rows, grid, length, offset) -> DataFrame:
     at, v = F.when(fine, F.col("ts_ms")), F.when(fine, F.col("value"))
     parts = {"n": F.count(v), "t0": F.min(at), "t1": F.max(at), "v0": F.min_by(v, at), "v1": F.max_by(v, at), "odd": F.max(F.when(~fine, F.col("ts_ms")))}
     merged = {"n": F.sum("n"), "v0": F.min_by("v0", "t0"), "v1": F.max_by("v1", "t1"), "t0": F.min("t0"), "t1": F.max("t1"), "odd": F.max("odd")}
-    w = _after_odd(_neighbours(rows).drop("pv", "pt"), grid, length, offset, parts, merged).filter("n >= 2")
+
+    def of(w: Column) -> dict[str, Column]:
+        some = F.filter(w, lambda x: x["n"] > 0)
+        return {"n": _total(w, "n"), "v0": _first(some, "v0"), "v1": _last(some, "v1"), "t0": _first(some, "t0"), "t1": _last(some, "t1"), "odd": F.array_max(_all(w, "odd"))}
+
+    w = _after_odd(_neighbours(rows).drop("pv", "pt"), grid, length, offset, parts, merged, of).filter("n >= 2")
     end = F.col("eval_ms") - offset
     f = factor(F.col("n"), F.col("t0"), F.col("t1"), F.greatest(end - length, F.col("odd")), end, None, None)
     return w.withColumn("value", (F.col("v1") - F.col("v0")) * f)
@@ -175,7 +250,8 @@ def _resets(rows, grid, length, offset) -> DataFrame:
     first = lambda c: F.min_by(c, "ts_ms")
     parts = {"n": F.sum("fine"), "t0": F.min("ts_ms"), "r": F.sum("reset"), "r0": first("reset"), "x": F.sum("void"), "x0": first("void")}
     merged = {"n": F.sum("n"), "r": F.sum("r") - F.min_by("r0", "t0"), "x": F.sum("x") - F.min_by("x0", "t0")}
-    return _after_odd(rows, grid, length, offset, parts, merged).filter("n >= 1 and x = 0").withColumn("value", F.col("r").cast("double"))
+    of = lambda w: {"n": _total(w, "n"), "r": _total(w, "r") - _first(w, "r0"), "x": _total(w, "x") - _first(w, "x0")}
+    return _after_odd(rows, grid, length, offset, parts, merged, of).filter("n >= 1 and x = 0").withColumn("value", F.col("r").cast("double"))
 
 
 def _ordered(rows: DataFrame, grid: Grid, length: int, offset: int) -> DataFrame:
@@ -197,44 +273,41 @@ def _smooth(rows, grid, length, offset, sf: float, tf: float) -> DataFrame:
     return w.withColumn("value", F.when(F.col("bad"), ieee.NAN).otherwise(smoothed))
 
 
-def _overlap(grid: Grid, length: int) -> bool:
-    """Whether windows share slots, so that aggregating those first spares repeating samples."""
-    return grid.size > 1 and grid.step < length and length // grid.slot(length) <= MOST_SLOTS
-
-
 def _variance(rows, grid, length, offset) -> DataFrame:
-    """Population variances. Overlapping windows merge slots' counts, means and variances; means are taken from a mean of the series, so that large values lose no digits."""
+    """Population variances. Overlapping windows merge slots' counts, means and squared deviations from these, so that large values lose no digits."""
     v = F.col("value")
     if not _overlap(grid, length):
         return _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(F.var_pop(v).alias("value"))
-    g = grid.slot(length)
-    slots = rows.withColumn("slot", _slot_end(grid, length, offset)).groupBy("labels", "slot").agg(F.count("*").cast("double").alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"))
-    near = F.first(F.when(ieee.is_finite(F.col("mean")), F.col("mean")), ignorenulls=True).over(Window.partitionBy("labels").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    slots = slots.withColumn("d", F.col("mean") - F.coalesce(near, F.lit(0.0)))
-    w = slots.withColumn("eval_ms", F.explode(grid.times(F.col("slot"), length - g + 1, offset))).groupBy("labels", "eval_ms")
-    w = w.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("d")).alias("nd"), F.sum(F.col("n") * (F.col("var") + F.col("d") * F.col("d"))).alias("ndd"))
-    out = F.col("ndd") / F.col("n") - (F.col("nd") / F.col("n")) * (F.col("nd") / F.col("n"))
-    return w.withColumn("value", F.when(F.isnan(out), ieee.NAN).otherwise(F.greatest(out, F.lit(0.0))))
+    slots = _by_slot(rows, grid, length, offset, {"n": F.count("*").cast("double"), "mean": F.avg(v), "m2": F.var_pop(v) * F.count("*")})
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def step(a: Column, x: Column) -> Column:
+        n, d = a["n"] + x["n"], F.when(a["n"] == 0.0, x["mean"]).otherwise(x["mean"] - a["mean"])
+        return F.struct(n.alias("n"), (a["mean"] + d * (x["n"] / n)).alias("mean"), (a["m2"] + x["m2"] + F.when(a["n"] == 0.0, 0.0).otherwise(d * d * (a["n"] * x["n"] / n))).alias("m2"))
+
+    return _lists(slots, grid, length, offset).select("labels", "eval_ms", F.aggregate("w", zero, step, lambda a: a["m2"] / a["n"]).alias("value"))
 
 
 def _regression(rows, grid, length, offset, ahead: float | None) -> DataFrame:
-    """Least squares over x, seconds from the middle of the window. Of slots the sums are taken from the slot's end and moved there when they are merged."""
+    """Least squares over x, whole ms from the window's end or, in slots, from theirs, so that no x is rounded; means and deviations from them are merged, so that samples close together keep their digits."""
     fine = ieee.is_finite(F.col("value"))
-    y, half = F.when(fine, F.col("value")).otherwise(0.0), length / 2000.0
-    sums = lambda x: {"n": F.count("*").cast("double"), "x": F.sum(x), "y": F.sum(y), "xx": F.sum(x * x), "xy": F.sum(x * y), "bad": F.max((~fine).cast("int"))}
+    y = F.when(fine, F.col("value")).otherwise(0.0)
+    n = F.count("*").cast("double")
+    parts = lambda x: {"n": n, "x": F.avg(x), "y": F.avg(y), "xx": F.var_pop(x) * n, "xy": F.covar_pop(x, y) * n, "bad": F.max((~fine).cast("int"))}
     if _overlap(grid, length):
-        g = grid.slot(length)
-        rows = rows.withColumn("slot", _slot_end(grid, length, offset))
-        slots = rows.groupBy("labels", "slot").agg(*(v.alias(k) for k, v in sums((F.col("ts_ms") - F.col("slot")) / 1000.0).items()))
-        w = slots.withColumn("eval_ms", F.explode(grid.times(F.col("slot"), length - g + 1, offset)))
-        n, x, d = F.col("n"), F.col("x"), (F.col("slot") + offset - F.col("eval_ms")) / 1000.0 + half
-        merged = {"n": F.sum("n"), "x": F.sum(x + n * d), "y": F.sum("y"), "xx": F.sum(F.col("xx") + 2.0 * d * x + n * d * d), "xy": F.sum(F.col("xy") + d * F.col("y")), "bad": F.max("bad")}
+        slots = _by_slot(rows, grid, length, offset, parts((F.col("ts_ms") - F.col("slot")).cast("double")))
+        zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "x", "y", "xx", "xy")))
+
+        def step(a: Column, b: Column) -> Column:
+            n, x = a["n"] + b["n"], b["x"] + (b["slot"] + offset - F.col("eval_ms")).cast("double")
+            dx, dy, part = x - a["x"], b["y"] - a["y"], a["n"] * b["n"] / n
+            return F.struct(n.alias("n"), (a["x"] + dx * (b["n"] / n)).alias("x"), (a["y"] + dy * (b["n"] / n)).alias("y"), (a["xx"] + b["xx"] + dx * dx * part).alias("xx"), (a["xy"] + b["xy"] + dx * dy * part).alias("xy"))
+
+        w = _lists(slots, grid, length, offset).select("labels", "eval_ms", F.aggregate("w", zero, step).alias("m"), F.array_max(_all(F.col("w"), "bad")).alias("bad")).select("labels", "eval_ms", "m.*", "bad")
     else:
-        w, merged = _windows(rows, grid, length, offset), sums((F.col("ts_ms") + offset - F.col("eval_ms")) / 1000.0 + half)
-    w = w.groupBy("labels", "eval_ms").agg(*(v.alias(k) for k, v in merged.items()))
-    cov, var = F.col("xy") - F.col("x") * F.col("y") / F.col("n"), F.col("xx") - F.col("x") * F.col("x") / F.col("n")
-    slope = cov / F.nullif(var, F.lit(0.0))
-    out = slope if ahead is None else F.col("y") / F.col("n") + slope * (half - offset / 1000.0 + ahead - F.col("x") / F.col("n"))
+        w = _windows(rows, grid, length, offset).groupBy("labels", "eval_ms").agg(*(v.alias(k) for k, v in parts((F.col("ts_ms") + offset - F.col("eval_ms")).cast("double")).items()))
+    slope = F.col("xy") / F.nullif(F.col("xx"), F.lit(0.0))
+    out = slope * 1000.0 if ahead is None else F.col("y") + slope * (ahead * 1000.0 - offset - F.col("x"))
     return w.filter("bad = 1 or n >= 2").withColumn("value", F.when(F.col("bad") == 1, ieee.NAN).otherwise(out))
 
 

@@ -171,3 +171,23 @@ def test_plans_do_not_multiply(spark, held):
         neighbours = query.split("(")[0] in ("rate", "irate", "idelta", "delta", "resets", "changes")
         assert plan.count("Exchange hashpartitioning") == (1 if neighbours else 2), query
         assert plan.index("Generate") < plan.rindex("HashAggregate"), query  # plans read from the top: slots are made before they are repeated
+
+
+def test_overlapping_windows_are_not_held(spark, held):
+    """Each window is made from a list of its slots: behind the rows that are repeated for windows there is no aggregate or sort, whose memory would grow with the windows."""
+    for query in ("rate(http_requests_total[1m])", "delta(temperature[1m])", "resets(reset_counter[1m])", "changes(temperature[1m])", "stddev_over_time(temperature[1m])", "predict_linear(temperature[1m], 60)", "avg_over_time(temperature[1m])"):
+        plan = engine.range_query(spark, held, query, 0, 600_000, 15_000)._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan.split("Generate")[0] and "Sort" not in plan.split("Generate")[0], query
+
+
+def test_regression_of_samples_close_together(spark):
+    """Two samples a few ms apart, in one slot or in two, at the end of a window of a day; the line through them is known."""
+    hour = 3_600_000
+    for first, second in ((23 * hour + 1000, 23 * hour + 1003), (23 * hour, 23 * hour + 1)):
+        rows = series("m{a=b}", [100.25], step_ms=1) + series("m{a=b}", [None, 350.75], step_ms=1)
+        rows = [(*r[:2], t, *r[3:]) for r, t in zip(rows, (first, second), strict=True)]
+        for end in (24 * hour, 40 * hour):
+            got = rows_of(engine.range_query(spark, store(spark, rows, unique=True), "predict_linear(m[1d], 3600)", end, end + hour, hour))
+            slope = 250.5 / (second - first)
+            want = 100.25 + slope * (end + hour - first)
+            assert len(got) == 2 and got[(end, (("a", "b"),))] == pytest.approx(want, rel=1e-13)
